@@ -1,8 +1,12 @@
 """The queries of the training-data operators, and their SQL where SQL can express them."""
 
-from rowkin.llm import exact_dedup
+from rowkin.llm import exact_dedup, langid, packing, secret_scan, simhash
 
 QUERIES = {
+    "op1_langid": langid.op1_langid,
+    "op2_packing": packing.op2_packing,
+    "op3_simhash": simhash.op3_simhash,
+    "op7_secret_scan": secret_scan.op7_secret_scan,
     "op10_exact_dedup": exact_dedup.op10_exact_dedup,
 }
 
