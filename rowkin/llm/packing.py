@@ -2,9 +2,9 @@
 
 Every partition keeps a fixed number of open windows. A document longer than a window first fills whole windows; what remains goes into the open
 window with the least room that suffices, else into a new one, and where all are open and none fits the fullest is emitted. At the end of the
-partition the open windows, a fixed number of them, travel with their ids to a merge that fills windows from those of 64 partitions, cutting a
+partition the open windows, a fixed number of them, travel with their ids to a merge that fills windows from those of 8 partitions, cutting a
 piece at the end of a window; so padding is left in emitted windows (a few ids) and in one window for each merge. No task holds more than the
-open windows of its partition, or of the 64 that it merges, besides one document.
+open windows of its partition, or of the 8 that it merges, besides one document.
 
 Defined cases: a null or empty text is the separator alone; a null or repeated id is carried as it is; an empty table gives an empty result; extra
 columns are ignored.
@@ -12,6 +12,7 @@ columns are ignored.
 
 from __future__ import annotations
 
+import functools
 import struct
 import zlib
 from bisect import bisect_left, insort
@@ -29,9 +30,9 @@ from rowkin.llm.pretokens import is_plain, pretokens
 WINDOW = 1024
 OPEN = 64
 #: Partitions whose open windows are merged in one task.
-FAN_IN = 64
+FAN_IN = 8
 #: Pre-tokens that a worker remembers at most.
-REMEMBERED = 200_000
+REMEMBERED = 300_000
 _PIECES = "doc_id {id}, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
 
@@ -58,9 +59,7 @@ class Encoder(dict):
     def __missing__(self, piece: str) -> bytes:
         ids = self.part(piece)
         found = struct.pack(f"<{len(ids)}I", *ids)
-        if len(self) >= REMEMBERED:
-            self.clear()
-        if len(piece) <= 64:
+        if len(piece) <= 32 and len(self) < REMEMBERED:  # the first to come are the frequent ones
             self[piece] = found
         return found
 
@@ -71,6 +70,12 @@ class Encoder(dict):
         return struct.pack(f"<{len(ids)}I", *ids)
 
 
+@functools.lru_cache(2)
+def shared(vocabulary: str, ranks: str) -> Encoder:
+    """One encoder for each Python worker, which keeps what it remembers over its tasks."""
+    return Encoder(vocabulary, ranks)
+
+
 class Packer:
     """The open windows of one partition. ``add`` returns the pieces of windows that are complete, ``close`` those of the open ones."""
 
@@ -132,7 +137,7 @@ def pack(docs: DataFrame, window: int = WINDOW, most_open: int = OPEN, vocabular
     types = [to_arrow_type(docs.schema["doc_id"].dataType), *[pa.int64()] * 6]
 
     def of_partition(batches):
-        encoder, part = Encoder(*files), TaskContext.get().partitionId()
+        encoder, part = shared(*files), TaskContext.get().partitionId()
         packer, rows = Packer(window, most_open, part << 32), []
 
         def batch(rows):
