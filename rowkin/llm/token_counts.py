@@ -26,6 +26,8 @@ from rowkin.llm._common import small_batches, table
 
 MARK = "▁"
 NODES = 600_000
+#: Pre-tokens whose count a worker remembers at most.
+REMEMBERED = 300_000
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -38,48 +40,75 @@ def pieces_of(model_file: str) -> list[str]:
     return [model.id_to_piece(i) for i in sorted(own, key=lambda i: (-model.get_score(i), i))]
 
 
+class Known(dict):
+    """Counts by pre-token, read from the trie where they are missing. The first to come, which are the frequent ones, are remembered."""
+
+    def __init__(self, compute):
+        super().__init__()
+        self.compute = compute
+
+    def __missing__(self, word: str) -> int:
+        found = self.compute(word)
+        if len(word) <= 32 and len(self) < REMEMBERED:
+            self[word] = found
+        return found
+
+
 class Trie:
     def __init__(self, pieces: list[str], nodes: int = NODES):
         total = math.log(sum(1 / (r + 1) for r in range(len(pieces))))
         self.score = {p: -math.log(r + 1) - total for r, p in enumerate(pieces)}
         self.byte = -math.log(max(1, len(pieces))) - total
-        self.longest = max(map(len, pieces), default=1)
+        #: Lengths of the pieces by their last two characters, ascending.
+        self.sizes: dict[str, tuple[int, ...]] = {}
+        for p in sorted(pieces, key=len):
+            if len(p) > 1 and len(p) not in self.sizes.get(p[-2:], ()):
+                self.sizes[p[-2:]] = (*self.sizes.get(p[-2:], ()), len(p))
         self.nodes = nodes
+        self.known = Known(lambda w: self.tokens(MARK + w))
         self.clear()
 
     def clear(self) -> None:
-        self.child: dict[tuple[int, str], int] = {}
+        self.child: dict[int, int] = {}
         self.best, self.count = [0.0], [0]
 
     def tokens(self, word: str) -> int:
         """The number of pieces of the best segmentation of a pre-token."""
-        path, at = [0], 0
-        for depth, c in enumerate(word, 1):
-            below = self.child.get((at, c))
+        child, best, count, score = self.child, self.best, self.count, self.score
+        path, at, depth = [0], 0, 0
+        for c in word:
+            depth += 1
+            key = at << 21 | ord(c)
+            below = child.get(key)
             if below is None:
-                size = len(c.encode("utf-8", "replace"))
-                if c in self.score:
-                    found = self.best[at] + self.score[c], -self.count[at] - 1
+                s = score.get(c)
+                if s is None:
+                    pieces = len(c.encode("utf-8", "replace"))
+                    top, pieces = best[at] + pieces * self.byte, count[at] + pieces
                 else:
-                    found = self.best[at] + size * self.byte, -self.count[at] - size
-                for k in range(2, min(depth, self.longest) + 1):
-                    s = self.score.get(word[depth - k : depth])
+                    top, pieces = best[at] + s, count[at] + 1
+                for k in self.sizes.get(word[depth - 2 : depth], ()) if depth > 1 else ():
+                    if k > depth:
+                        break
+                    s = score.get(word[depth - k : depth])
                     if s is not None:
                         up = path[depth - k]
-                        found = max(found, (self.best[up] + s, -self.count[up] - 1))
-                below = self.child[at, c] = len(self.best)
-                self.best.append(found[0])
-                self.count.append(-found[1])
-            path.append(at := below)
-        return self.count[at]
+                        s += best[up]
+                        if s > top or s == top and count[up] < pieces - 1:
+                            top, pieces = s, count[up] + 1
+                below = child[key] = len(best)
+                best.append(top)
+                count.append(pieces)
+            path.append(below)
+            at = below
+        return count[at]
 
     def counts(self, texts: list[str | None]) -> list[tuple[int, int]]:
-        """(tokens, pre-tokens) of each text; distinct pre-tokens of all texts are inserted once."""
+        """(tokens, pre-tokens) of each text; pre-tokens that are not remembered are inserted, or found, in the trie."""
         words = [_WORDS.findall(t) if t else [] for t in texts]
         if len(self.best) > self.nodes:
             self.clear()
-        of_word = {w: self.tokens(MARK + w) for w in set().union(*words)}
-        return [(sum(map(of_word.__getitem__, w)), len(w)) for w in words]
+        return [(sum(map(self.known.__getitem__, w)), len(w)) for w in words]
 
 
 @functools.lru_cache(2)
