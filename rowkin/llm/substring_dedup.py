@@ -1,11 +1,11 @@
 """Substring dedup by content-defined chunking with a gear rolling hash.
 
 The rolling hash of 16 bits adds a fixed random value for each byte and shifts by one, so it depends on the last 16 bytes alone. A chunk ends where the
-hash falls below ``2^16 / SPREAD`` and at least ``LEAST`` bytes have passed, or at ``MOST`` bytes. Inserted text therefore moves only the chunk ends near
+hash falls below ``2^16 / SPREAD`` and at least ``LEAST`` bytes have passed, or, after ``MOST`` bytes without such a place, at the least hash. Inserted text therefore moves only the chunk ends near
 it. Chunks are compared by a 64-bit digest over all documents; runs of adjoining chunks that other documents also hold are the
 repeated passages. A passage needs several consecutive matches, so a digest that two chunks share by chance makes none.
 
-A passage of more than 50 words holds a run of at least ``WORDS`` words but for a chance of about 0.3 % (chunk ends are about 32 bytes apart, and what lies
+A passage of more than 50 words holds a run of at least ``WORDS`` words but for a chance below 1 % (chunk ends are about 32 bytes apart, and what lies
 outside the first and last common chunk end is not counted); short common lines stay below it.
 
 Digests are combined before the shuffle (smallest and largest document, no list), so a passage that a third of all documents hold is as
@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from rowkin.llm._common import small_batches, table
 
-SPREAD, LEAST, MOST, WORDS = 20, 12, 1024, 20
+SPREAD, LEAST, MOST, WORDS = 20, 12, 160, 24
 REACH = 16
 #: The gear: one value for each byte, from a rule; zero for the byte that separates texts.
 GEAR = np.array([0] + [xxhash.xxh64_intdigest(bytes([k]), 1) & 0xFFFF for k in range(1, 256)], np.uint16)
@@ -42,12 +42,15 @@ def gear_hash(data: np.ndarray) -> np.ndarray:
     return h
 
 
-def ends_of(candidates: list[int], size: int) -> list[int]:
-    """Chunk ends of a text of ``size`` bytes, given the places after which the hash would end one."""
-    ends, last = [], 0
+def ends_of(candidates: list[int], h: np.ndarray) -> list[int]:
+    """Chunk ends of a text, given the hash after each byte and the places after which it would end one.
+
+    Where no place comes within ``MOST`` bytes, as in a word repeated over and over, the chunk ends at the first least hash, so that ends depend on the content there too.
+    """
+    ends, last, size = [], 0, len(h)
     for c in [*candidates, size]:
         while c - last > MOST:
-            last += MOST
+            last += LEAST + int(h[last + LEAST - 1 : last + MOST].argmin())
             ends.append(last)
         if c - last >= LEAST and c < size:
             ends.append(c)
@@ -62,7 +65,8 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     gap = b"\0" * REACH
     data = gap + gap.join(texts) + gap
     array = np.frombuffer(data, np.uint8)
-    hit = np.flatnonzero(gear_hash(array) < (1 << 16) // SPREAD) + 1
+    hashes = gear_hash(array)
+    hit = np.flatnonzero(hashes < (1 << 16) // SPREAD) + 1
     space = (array == 32) | ((array >= 9) & (array <= 13))
     fresh = np.zeros(array.size, np.int64)
     fresh[1:] = ~space[1:] & (space[:-1] | (array[:-1] == 0))
@@ -73,7 +77,7 @@ def chunks_of(texts: list[bytes]) -> tuple[np.ndarray, ...]:
     for k, t in enumerate(texts):
         a, b = np.searchsorted(hit, (at + 1, at + len(t)))
         last = at
-        for e in ends_of((hit[a:b] - at).tolist(), len(t)):
+        for e in ends_of((hit[a:b] - at).tolist(), hashes[at : at + len(t)]):
             froms.append(last)
             last = at + e
             tos.append(last)
