@@ -7,7 +7,7 @@ import tempfile
 from pyspark.sql import DataFrame, SparkSession
 
 #: Rows and bytes per Arrow batch: long texts make a batch of the default 10,000 rows too large for a worker.
-ARROW_ROWS = 512
+ARROW_ROWS, ARROW_BYTES = 512, 16 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -16,10 +16,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows of one Arrow batch, so that a worker's memory does not follow the length of the texts."""
-    now = spark.conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")
-    if not 0 < int(now) <= ARROW_ROWS:
-        spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(ARROW_ROWS))
+    """Bound the rows and bytes of one Arrow batch, so that a worker's memory does not follow the number or length of the texts; one row may exceed it."""
+    for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
+        key = f"spark.sql.execution.arrow.{name}"
+        if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
+            spark.conf.set(key, str(most))
 
 
 def cut(df: DataFrame) -> DataFrame:

@@ -126,8 +126,36 @@ def judge(docs: DataFrame, least: float = 0.5) -> DataFrame:
         odds = odds + F.when(F.col("votes")[j] > 0, F.lit(math.log(a / (1 - b)))).when(F.col("votes")[j] < 0, F.lit(math.log((1 - a) / b))).otherwise(F.lit(0.0))
     quality = 1 / (1 + F.exp(-odds))
     base = ["doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-    return rows.select(*base, failed.alias("base_failed"), (~failed & (quality >= least)).alias("kept"), quality.alias("quality"))
+    return rows.select(*base, failed.alias("base_failed"), (~failed & (quality >= least)).alias("kept"), F.round(quality, 6).alias("quality"))
 
 
 def op5_quality(spark, sf_dir: str) -> DataFrame:
     return judge(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The judgement as SQL: windows and positions as rows, expectation-maximisation as a recursive query over the vote patterns."""
+    m = range(1, len(RULES) + 1)
+    vote = ", ".join(f"CASE WHEN n_words = 0 THEN 0 WHEN {value} > {bad} THEN -1 WHEN {value} <= {good} THEN 1 ELSE 0 END" for _, value, bad, good in RULES)
+    odds = "ln(prior / (1 - prior)) + list_sum(list_transform(range(1, len(v) + 1), lambda j: CASE v[j] WHEN 1 THEN ln(good[j] / (1 - bad[j])) WHEN -1 THEN ln((1 - good[j]) / bad[j]) ELSE 0.0 END))"
+    chance = f"1 / (1 + exp(-greatest(-500.0, least(500.0, {odds}))))"
+    share = lambda j, side, start, weight: f"(sum(CASE WHEN v[{j}] = {side} THEN {weight} ELSE 0 END) + {start}) / (sum(CASE WHEN v[{j}] <> 0 THEN {weight} ELSE 0 END) + 1)"
+    good, bad = (", ".join(share(j, side, start, weight) for j in m) for side, start, weight in ((1, START_GOOD, "n * q"), (-1, START_BAD, "n * (1 - q)")))
+    lists = lambda x: "[" + ", ".join([f"{x}::DOUBLE"] * len(RULES)) + "]"
+    count = lambda p: f"len(regexp_extract_all(t, '{p}'))"
+    return rf"""
+WITH RECURSIVE d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
+w AS (SELECT *, regexp_extract_all(t, '{WORD}+') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '{WORD}')) AS l FROM d),
+h AS (SELECT r, i, array_to_string(w[i:i + {WINDOW - 1}], ' ') AS h FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM w)),
+p AS (SELECT r, count(DISTINCT i + o)::BIGINT AS n FROM (SELECT r, i, unnest(range(0, {WINDOW})) AS o FROM (SELECT *, count(*) OVER (PARTITION BY r, h) AS c FROM h) WHERE c > 1) GROUP BY r),
+m AS (SELECT w.r, doc_id, len(w) AS n_words, coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::BIGINT AS word_chars, {count("[#*$%&|<>]")} AS n_symbols, len(l) - len(list_distinct(l)) AS n_dup_lines, coalesce(p.n, 0) AS n_repeat_words, len(l) AS n_lines,
+ {count(r"\p{Lu}{2,}")} AS n_upper, len(list_filter(w, lambda x: NOT regexp_matches(x, '[\p{{L}}\p{{N}}]'))) AS n_bare, len(list_filter(w, lambda x: regexp_matches(x, '[^\p{{L}}\p{{N}}.,;:!?)"'']$'))) AS n_odd_ends, len(list_filter(w, lambda x, i: i > 1 AND x = w[i - 1])) AS n_stutter FROM w LEFT JOIN p ON p.r = w.r),
+votes AS (SELECT *, [{vote}] AS v FROM m), pat AS (SELECT v, count(*) AS n FROM votes GROUP BY v),
+em AS (SELECT 0 AS i, {START_PRIOR}::DOUBLE AS prior, {lists(START_GOOD)} AS good, {lists(START_BAD)} AS bad
+ UNION ALL SELECT i + 1, (sum(n * q) + {START_PRIOR}) / (sum(n) + 1), [{good}], [{bad}] FROM (SELECT i, v, n, CASE WHEN i > 0 THEN {chance} WHEN list_contains(v, -1) THEN {DOUBTFUL} ELSE {CLEAN} END AS q FROM em, pat WHERE i < {ROUNDS}) GROUP BY i),
+j AS (SELECT votes.*, n_words < {MIN_WORDS} OR 100 * n_repeat_words > {MOST_REPEATED} * n_words AS base_failed, 1 / (1 + exp(-({odds}))) AS q FROM votes, em WHERE i = {ROUNDS})
+SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, NOT base_failed AND q >= 0.5 AS kept, round(q, 6) AS quality FROM j
+"""
+
+
+SQL = _sql()

@@ -16,5 +16,7 @@ QUERIES = {
 }
 
 ORACLE_SQL = {
+    "op5_quality": quality.SQL,
+    "op7_secret_scan": secret_scan.SQL,
     "op10_exact_dedup": exact_dedup.SQL,
 }

@@ -106,3 +106,24 @@ def report(docs: DataFrame) -> DataFrame:
 
 def op7_secret_scan(spark, sf_dir: str) -> DataFrame:
     return report(table(spark, sf_dir, "documents"))
+
+
+def _sql() -> str:
+    """The report as SQL: places from the pieces between matches, scopes as a RANGE window."""
+    quoted = lambda p: "'" + p.replace("'", "''") + "'"
+    parts = ", ".join(f"({KINDS[kind]}, '{kind}', '{part}', {quoted(pattern)})" for kind, pattern, part in STRONG + WEAK)
+    found = " UNION ALL ".join(
+        f"SELECT doc_id, {KINDS[kind]} AS k, regexp_extract_all(t, {quoted(p)}) AS ms, string_split_regex(t, {quoted(p)}) AS ps FROM d WHERE regexp_matches(t, {quoted(p)})" for kind, p, _ in STRONG + WEAK
+    )
+    return f"""
+WITH d AS (SELECT doc_id, coalesce(text, '') AS t FROM documents), kinds(k, kind, part, pattern) AS (VALUES {parts}), f AS ({found}),
+e AS (SELECT doc_id, k, ms[j] AS m, CAST(list_sum(list_transform(ps[:j], lambda x: length(x))) + coalesce(list_sum(list_transform(ms[:j - 1], lambda x: length(x))), 0) AS BIGINT) AS a FROM (SELECT *, unnest(range(1, len(ms) + 1)) AS j FROM f)),
+g AS (SELECT doc_id, k, kind, part, a, a + length(m) AS b FROM e JOIN kinds USING (k) WHERE k <> 0 OR length(regexp_extract(m, {quoted(ASSIGN)}, 2)) >= 6),
+n AS (SELECT *, {", ".join(f"bool_or(part = '{p}') OVER w AS is_{p}" for p in ("identifier", "secret", "endpoint"))} FROM g WINDOW w AS (PARTITION BY doc_id ORDER BY a RANGE BETWEEN {SCOPE} PRECEDING AND {SCOPE} FOLLOWING)),
+r AS (SELECT *, kind || ':' || a || ':' || b AS s FROM n WHERE k < {len(STRONG)} OR (part = 'secret' AND (is_identifier OR is_endpoint)) OR (part <> 'secret' AND is_secret)),
+o AS (SELECT doc_id, {", ".join(f"count(*) FILTER (k = {KINDS[kind]}) AS n_{kind}" for kind, _, _ in STRONG)}, string_agg(s, ',' ORDER BY a, k) FILTER (k < {len(STRONG)}) AS base, string_agg(s, ',' ORDER BY a, k) AS spans FROM r GROUP BY doc_id)
+SELECT d.doc_id, {", ".join(f"coalesce(n_{kind}, 0) AS n_{kind}" for kind, _, _ in STRONG)}, sha256(coalesce(base, '')) AS base_sha256, coalesce(spans, '') AS spans FROM d LEFT JOIN o ON d.doc_id = o.doc_id
+"""
+
+
+SQL = _sql()
