@@ -35,7 +35,7 @@ SLOTS, HASHES = 1 << 20, 3
 MOST_LANGUAGES = 64
 UNKNOWN = "und"
 #: Below this score the pipeline does not take a text for any known language.
-LEAST_SCORE = 0.35
+LEAST_SCORE, LEAST_GRAMS = 0.35, 20
 
 _LETTER = np.zeros(1 << 16, bool)
 _LETTER[[c for c in range(1 << 16) if chr(c).isalpha()]] = True
@@ -80,11 +80,10 @@ class Filters:
     def masks(self, h: np.ndarray) -> np.ndarray:
         return reduce(np.bitwise_and, (self.slots[p] for p in _places(h, self.slots.size)))
 
-    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+    def _scored(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
+        """Place of the best language, score, number of n-grams, and whether there is a letter, of each text."""
         h, begins = grams(texts)
         n = np.diff(begins)
-        if not self.languages:
-            return [(UNKNOWN, 0.0)] * len(texts)
         found = self.masks(h)
         best, which = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
         for k, p in enumerate(self.wrong):
@@ -92,8 +91,20 @@ class Filters:
             right = (hits[begins[1:]] - hits[begins[:-1]] - n * p) / max(1 - p, 1e-9)
             better = right > best
             best[better], which[better] = right[better], k
-        score = np.clip(best / np.maximum(n, 1), 0, 1)
-        return [(self.languages[k], float(s)) if t and any(c.isalpha() for c in t) else (UNKNOWN, 0.0) for t, k, s in zip(texts, which, score, strict=True)]
+        return which, np.clip(best / np.maximum(n, 1), 0, 1), n, [bool(t) and any(c.isalpha() for c in t) for t in texts]
+
+    def predict(self, texts: list[str | None]) -> list[tuple[str, float]]:
+        if not self.languages:
+            return [(UNKNOWN, 0.0)] * len(texts)
+        which, score, _, letters = self._scored(texts)
+        return [(self.languages[k], float(s)) if ok else (UNKNOWN, 0.0) for k, s, ok in zip(which, score, letters, strict=True)]
+
+    def known(self, texts: list[str | None], least_score: float) -> list[bool]:
+        """Whether each text is taken for one of the languages. Texts of less than ``LEAST_GRAMS`` n-grams have too little to reject them by; nothing is known without labels."""
+        if not self.languages:
+            return [False] * len(texts)
+        _, score, n, letters = self._scored(texts)
+        return [ok and (m < LEAST_GRAMS or s >= least_score) for s, m, ok in zip(score.tolist(), n.tolist(), letters, strict=True)]
 
 
 def _places(h: np.ndarray, slots: int) -> list[np.ndarray]:
@@ -178,7 +189,7 @@ def keep_known(docs: DataFrame, least_score: float = LEAST_SCORE) -> DataFrame:
             for k, t in enumerate(texts, 1):
                 size += len(t or "")
                 if size > 1 << 20 or k == len(texts):
-                    good += [x != UNKNOWN and s >= least_score for x, s in shared.value.predict(texts[a:k])]
+                    good += shared.value.known(texts[a:k], least_score)
                     a, size = k, 0
             yield b.filter(pa.array(good, pa.bool_())).cast(schema)
 

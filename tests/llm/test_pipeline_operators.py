@@ -168,6 +168,10 @@ def test_language_id(sample, empty, spark):
     got = {r.doc_id: r for r in langid.predict(sample, filters).collect()}
     for r in sample.collect():
         assert (got[r.doc_id].lang_pred == "und") == (not any(c.isalpha() for c in r.text or ""))
+    kept = {r.doc_id for r in langid.keep_known(docs.unionByName(sample.filter("doc_id >= 10000"))).collect()}
+    short = {r.doc_id for r in sample.filter("doc_id >= 10000").collect() if any(c.isalpha() for c in r.text or "") and len(r.text) < 20}
+    assert {r.doc_id for r in docs.collect()} <= kept and short <= kept
+    assert not kept & {r.doc_id for r in sample.filter("doc_id >= 10000").collect() if not any(c.isalpha() for c in r.text or "")}
     assert langid.predict(empty, filters).count() == langid.keep_known(empty).count() == 0
     assert {r.lang_pred for r in langid.predict(sample, langid.fit(empty)).collect()} == {"und"}
 
