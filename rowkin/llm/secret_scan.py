@@ -14,6 +14,9 @@ spans; a null id is carried. All columns of the input are kept apart from the wo
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -30,6 +33,8 @@ WEAK = (
     ("phrase", rf"(?i:passphrase|passcode|pass|pwd|credential|private_?key){_VALUE}[^\x20\x09-\x0D\"'<>]{{4,}}", "secret"),
     ("endpoint", r"[A-Za-z][A-Za-z0-9+.-]{1,15}://[^\x20\x09-\x0D\"'<>]+|(?i:hostname|host|endpoint|server)" + _VALUE + r"[A-Za-z0-9.:_-]{3,}", "endpoint"),
 )
+#: Substrings of which any match of a kind has one; looking for them first is far cheaper than the pattern.
+NEEDED = {"assign": (":", "="), "access": ("AKIA",), "login": (":", "="), "phrase": (":", "="), "endpoint": (":", "=")}
 KINDS = {kind: k for k, (kind, _, _) in enumerate(STRONG + WEAK)}
 _SPANS = "array<struct<start:int,k:int,end:int>>"
 
@@ -49,7 +54,8 @@ def _found(text: Column, kind: str, pattern: str) -> Column:
 
     none = F.array().cast(_SPANS)
     found = F.aggregate(both, F.struct(F.lit(0).alias("at"), none.alias("spans")), step, lambda s: s["spans"])
-    return F.when(text.rlike(pattern), found).otherwise(none)
+    likely = reduce(or_, (F.contains(text, F.lit(x)) for x in NEEDED[kind])) if kind in NEEDED else F.lit(True)
+    return F.when(likely & text.rlike(pattern), found).otherwise(none)
 
 
 def scan(docs: DataFrame, text_col: str = "text", id_col: str = "doc_id", scope: int = SCOPE) -> DataFrame:
