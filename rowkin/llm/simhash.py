@@ -101,7 +101,8 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     joined = cut(prints.join(roots.withColumnRenamed("node", "f"), "f"))
     lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     moved = joined.join(lows, "root").select("f", F.col("component_id").alias("c"))
-    of_print = prints.join(moved, "f", "left").select("f", F.least("low", "c").alias("component_id"))
+    # kept apart, so that the join below shuffles both sides and a fingerprint of very many documents can be split
+    of_print = cut(prints.join(moved, "f", "left").select("f", F.least("low", "c").alias("component_id")))
     return each.join(of_print, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
