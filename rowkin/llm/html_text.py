@@ -29,7 +29,8 @@ from pyspark.sql import functions as F
 
 from rowkin.llm._common import small_batches, table
 
-SAMPLE, SEED = 400, 7
+#: Pages to train on, and characters of one.
+SAMPLE, LONGEST, SEED = 400, 500_000, 7
 PATHS, WORDS, SHARES, HIDDEN = 64, 32, 6, 16
 EPOCHS, BATCH, RATE = 16, 24, 0.02
 
@@ -364,8 +365,8 @@ def fit(pages: list[str], seed: int = SEED) -> Labeller:
 
 
 def sample_of(pages: DataFrame, most: int = SAMPLE) -> list[str]:
-    """At most ``most`` pages, drawn by a hash of the id."""
-    known = pages.filter("html IS NOT NULL")
+    """At most ``most`` pages of up to ``LONGEST`` characters, drawn by a hash of the id."""
+    known = pages.filter(F.length("html") <= LONGEST)
     n = known.count()
     below = int(min(1.0, 1.2 * most / n) * (1 << 30)) if n else 0
     place = F.pmod(F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.lit(1 << 30))

@@ -5,7 +5,8 @@ are counted for each language, the counts corrected for the share of absent n-gr
 c' = (c - n p) / (1 - p), and the language with the greatest corrected count is predicted (of equal ones the first by name). The score is that
 count as a share of the text's n-grams.
 
-The filters are learned from a bounded sample of labelled texts (``per_language`` documents of each language, drawn by a hash of the id). An n-gram
+The filters are learned from a bounded sample of labelled texts: ``PER_LANGUAGE`` documents of each language, ``SAMPLE`` in all, of up to ``LONGEST`` characters, drawn by a
+hash of the id. Predictions read whole texts of any length. An n-gram
 enters a language's filter if it was seen at least ``least_seen`` times there, and at least ``share`` as often (per n-gram read) as in
 the language where it is most frequent; so foreign words and wrong labels in a sample do not spread. N-grams are lower-cased letters with
 one space for each run of other characters.
@@ -27,7 +28,8 @@ from pyspark.sql import functions as F
 from rowkin.llm._common import small_batches, table
 
 N = 4
-PER_LANGUAGE = 1500
+#: The sample to learn from: documents of each language, of all together, and characters of a document in it.
+PER_LANGUAGE, SAMPLE, LONGEST = 1500, 12_000, 50_000
 LEAST_SEEN = 2
 SHARE = 0.25
 #: Slots of the filter, and slots for each n-gram.
@@ -139,10 +141,11 @@ def held_out(doc_id: Column) -> Column:
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, slots: int = SLOTS) -> Filters:
     """Filters of at most ``per_language`` labelled documents of each language, drawn by a hash of the id among those that are not held out."""
-    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    known = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= LONGEST) & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
     counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
     if not counts:
         return Filters([], np.zeros(slots, np.uint8), [])
+    per_language = min(per_language, SAMPLE // len(counts))
     place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30))
     below = F.coalesce(*(F.when(F.col("lang") == x, F.lit(int(min(1.0, 0.9 * per_language / n if n > per_language else 1.0) * (1 << 30)))) for x, n in counts.items()), F.lit(-1))
     samples: dict[str, list[str]] = {x: [] for x in counts}
