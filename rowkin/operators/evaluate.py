@@ -105,3 +105,9 @@ def uncertain_cases(scores: DataFrame, top: int = 3) -> DataFrame:
     each = scores.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("q"), "s"))).filter(F.col("r") <= top)
     unsure = each.filter((F.col("r") == 1) & (F.col("q") > 0.2) & (F.col("q") < 0.8)).select("x")
     return each.join(unsure, "x", "left_semi").select("x", "s", "q", "r")
+
+
+def false_positives(predicted: DataFrame, truth: DataFrame) -> DataFrame:
+    """(s, x, owner): predicted pairs that are not true, with the record's true entity (null: none)."""
+    wrong = predicted.select("s", "x").distinct().join(truth.select("s", "x").distinct(), ["s", "x"], "left_anti")
+    return wrong.join(truth.groupBy("x").agg(F.min("s").alias("owner")), "x", "left").select("s", "x", "owner")

@@ -95,3 +95,18 @@ def weakness(pairs: DataFrame) -> DataFrame:
         share(F.col("nj") == 0).alias("nj_zero"),
         share((F.col("nj") < 0.2) & (F.col("aj") < 0.3)).alias("both_weak"),
     )
+
+
+def key_rates(primary: DataFrame, records: DataFrame, truth: DataFrame) -> DataFrame:
+    """One row: the share of true pairs whose name keys are equal, and of unmatched records whose key another unmatched record of the country has."""
+    key = lambda df, id_: df.select(F.col("entity_id").alias(id_), "country", name_key(F.col("business_name")).alias(f"nk_{id_}"))
+    ours, theirs = key(primary, "s"), key(records, "x")
+    own = truth.join(ours.drop("country"), "s").join(theirs.drop("country"), "x").agg(share(F.col("nk_s") == F.col("nk_x")).alias("own_key"))
+    alone = theirs.join(truth.select("x"), "x", "left_anti").groupBy("country", "nk_x").agg(F.count(F.lit(1)).alias("c"))
+    shared = alone.agg((F.sum(F.when(F.col("c") > 1, F.col("c")).otherwise(0)) / F.sum("c")).alias("unmatched_shared"))
+    return own.withColumn("j", F.lit(1)).join(shared.withColumn("j", F.lit(1)), "j").drop("j")
+
+
+def weakest(pairs: DataFrame, most: int = 15) -> DataFrame:
+    """(s, x, nj, aj): the true pairs with the least word overlap of names, then of addresses."""
+    return pairs.filter((F.col("nj") < 0.2) & (F.col("aj") < 0.35)).orderBy("nj", "aj", "s", "x").limit(most).select("s", "x", "nj", "aj")

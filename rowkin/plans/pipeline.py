@@ -5,9 +5,10 @@ Stages are materialised as Parquet under a work folder that all executors see, a
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from rowkin.operators import blocking, context, decide, features, folds
@@ -18,7 +19,7 @@ from rowkin.sources.tables import id_lists, materialised, truth_pairs
 
 @dataclass
 class Config:
-    """Work folder, retrieval cuts, boosting and decision of a run."""
+    """Work folder, retrieval cuts, boosting, and the embedder and joint scorer of a run."""
 
     work: str
     top: int = 20
@@ -28,7 +29,8 @@ class Config:
     trees: dict = field(default_factory=dict)
     trees2: dict = field(default_factory=lambda: {"maxIter": 300})
     version: str = "v2"
-    default_threshold: float = 0.7
+    embed: Callable[[Column], Column] = blocking.hashed_ngrams
+    scorer: Callable[[], PairScorer] = PairScorer
 
 
 @dataclass
@@ -43,7 +45,7 @@ class Trained:
 def candidates(primary: DataFrame, secondary: DataFrame, config: Config, name: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """Normalised sources and the pruned candidate pairs of a split."""
     left, right = (materialised(normalise(df), f"{config.work}/{name}_norm_{side}") for side, df in (("s", primary), ("x", secondary)))
-    e, r = (embedded(df, blocking.hashed_ngrams).select(F.col("country").alias("block"), F.col("entity_id").alias(key), "e") for df, key in ((left, "s"), (right, "x")))
+    e, r = (embedded(df, config.embed).select(F.col("country").alias("block"), F.col("entity_id").alias(key), "e") for df, key in ((left, "s"), (right, "x")))
     return left, right, materialised(blocking.prune(blocking.block_topk(e, r, config.top), config.kx, config.ks).drop("block"), f"{config.work}/{name}_cand")
 
 
@@ -67,7 +69,7 @@ def train(primary: DataFrame, secondary: DataFrame, lists: DataFrame, config: Co
     stage1 = fit_folds(feat, features.STAGE1, **config.trees)
     scored = materialised(stage1.score(feat, "p1").select("s", "x", "y", "f", "p1"), f"{config.work}/train_p1")
     hard = texts(folds.hard_pairs(feat), left, right).select("text_s", "text_x", F.col("y").cast("double").alias("y"))
-    scorer = PairScorer().fit(hard)
+    scorer = config.scorer().fit(hard)
     logits = materialised(scorer.score(texts(likely(scored).select("s", "x"), left, right)).select("s", "x", "ce"), f"{config.work}/train_ce")
     full = materialised(stage2_columns(feat, scored.filter(~folds.dropped("s", config.drop)), logits), f"{config.work}/train_full")
     stage2 = fit_folds(full, features.STAGE2[config.version], validate=0.3, **(config.trees | config.trees2))

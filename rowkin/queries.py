@@ -657,6 +657,23 @@ def jaccard_quantiles(spark, sf_dir):
     return six(out, *out.columns)
 
 
+@query(DUP + ", al AS (SELECT country, nk, count(*) AS c FROM nko WHERE entity_id NOT IN (SELECT x FROM truth) GROUP BY ALL) SELECT (SELECT round(avg(CASE WHEN nk.nk = nko.nk THEN 1.0 ELSE 0 END), 6) FROM truth JOIN nk ON nk.entity_id = s JOIN nko ON nko.entity_id = x) AS own_key, (SELECT round(sum(CASE WHEN c > 1 THEN c ELSE 0 END) / sum(c), 6) FROM al) AS unmatched_shared")
+def key_rates(spark, sf_dir):
+    r = Records(spark, sf_dir)
+    return six(profile.key_rates(r.primary, r.secondary, tables.truth_pairs(r.lists)), "own_key", "unmatched_shared")
+
+
+@query(_SETS + f", v AS (SELECT s, x, {_JACCARD.format(c='n')} AS nj, {_JACCARD.format(c='a')} AS aj FROM fp JOIN w p ON p.entity_id = s JOIN w q ON q.entity_id = x) SELECT s, x, round(nj, 6) AS nj, round(aj, 6) AS aj FROM v WHERE nj < 0.2 AND aj < 0.35 ORDER BY v.nj, v.aj, s, x LIMIT 15")
+def weakest_pairs(spark, sf_dir):
+    return six(profile.weakest(_word_pairs(spark, sf_dir)), "nj", "aj")
+
+
+@query(BEST + ", m AS (SELECT s, x FROM best WHERE q > 0.3) SELECT m.s, m.x, coalesce(o.owner, -1) AS owner FROM m LEFT JOIN (SELECT x, min(s) AS owner FROM truth GROUP BY x) o USING (x) WHERE (m.s, m.x) NOT IN (SELECT (s, x) FROM truth)")
+def false_positives(spark, sf_dir):
+    v = Vectors(spark, sf_dir)
+    return evaluate.false_positives(decide.above(decide.exclusive(v.pairs), 0.3), v.truth).fillna(-1, ["owner"])
+
+
 # --- models ---
 
 
