@@ -23,7 +23,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from rowkin.llm._common import small_batches, table
+from rowkin.llm._common import cut, small_batches, table
 
 SPREAD, LEAST, MOST, WORDS = 20, 12, 160, 24
 REACH = 16
@@ -115,7 +115,8 @@ def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     ``keep_doc_id`` is the smallest document that holds a part of the passage; ``kept`` is true where no earlier document holds any of it.
     """
     every = chunks(docs)
-    common = every.groupBy("d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("d", "first")
+    # kept apart, so that the join shuffles both sides and a chunk of very many documents can be split
+    common = cut(every.groupBy("d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("d", "first"))
     found = every.join(common, "d").select("doc_id", "start", "end", "n", "first").distinct()
     each = Window.partitionBy("doc_id").orderBy("start")
     runs = found.withColumn("new", F.coalesce(F.lag("end").over(each) != F.col("start"), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(each))
