@@ -14,19 +14,26 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 
-def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    if not a or not b:
-        return 0
+def _places(a: str) -> dict[str, int]:
+    """For each character the bits of its places."""
     where: dict[str, int] = {}
     for k, c in enumerate(a):
         where[c] = where.get(c, 0) | 1 << k
-    full = (1 << len(a)) - 1
+    return where
+
+
+def _common(where: dict[str, int], n: int, b: str) -> int:
+    full = (1 << n) - 1
     s = full
     for c in b:
         u = s & where.get(c, 0)
         s = (s + u | s - u) & full
-    return len(a) - s.bit_count()
+    return n - s.bit_count()
+
+
+def lcs(a: str, b: str) -> int:
+    """Length of the longest common subsequence."""
+    return _common(_places(a), len(a), b) if a and b else 0
 
 
 def ratio(a: str, b: str) -> float:
@@ -62,14 +69,29 @@ def partial_ratio(a: str, b: str) -> float:
 
 
 def _windows(short: str, long: str) -> float:
+    """Windows are tried by falling upper bound, the ratio that their common characters in any order would give."""
     if short in long:
         return 100.0
-    n, letters, best = len(short), set(short), 0.0
-    for end in range(1, len(long) + n):
+    n, m, where, held, shared = len(short), len(long), _places(short), {}, 0
+    need = {c: bits.bit_count() for c, bits in where.items()}
+    bounds = []
+    for end in range(1, m + n):
+        if end <= m:
+            c = long[end - 1]
+            held[c] = held.get(c, 0) + 1
+            shared += held[c] <= need.get(c, 0)
+        if end > n:
+            c = long[end - n - 1]
+            shared -= held[c] <= need.get(c, 0)
+            held[c] -= 1
+        bounds.append((200.0 * shared / (n + min(end, m) - max(0, end - n)), end))
+    bounds.sort(reverse=True)
+    best = 0.0
+    for bound, end in bounds:
+        if bound <= best:
+            break
         window = long[max(0, end - n) : end]
-        # the best window begins and ends with a character of the shorter string
-        if (end <= len(long) and window[-1] in letters) or (end >= n and window[0] in letters):
-            best = max(best, ratio(short, window))
+        best = max(best, 200.0 * _common(where, n, window) / (n + len(window)))
     return best
 
 

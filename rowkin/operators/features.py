@@ -40,7 +40,8 @@ def gathered(pairs: DataFrame, left: DataFrame, right: DataFrame, columns: list[
 
 
 def string_scores(both: DataFrame, wanted: dict[str, tuple[str, str]] = SCORES) -> DataFrame:
-    """All string scores of gathered pairs, in one Python pass."""
+    """All string scores of gathered pairs, in one Python pass. Pairs are dealt evenly first: scoring one takes far longer than moving it."""
+    both = both.repartition("s", "x")
     found = similarities({n: (scorer, F.col(f"s_{c}"), F.col(f"x_{c}")) for n, (scorer, c) in wanted.items()})
     return both.withColumn("scores", found).select(*(c for c in both.columns), "scores.*")
 
