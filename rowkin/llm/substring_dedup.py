@@ -3,7 +3,7 @@
 The rolling hash of 16 bits adds a fixed random value for each byte and shifts by one, so it depends on the last 16 bytes alone. A chunk ends where the
 hash falls below ``2^16 / SPREAD`` and at least ``LEAST`` bytes have passed, or, after ``MOST`` bytes without such a place, at the least hash. Inserted text therefore moves only the chunk ends near
 it. Chunks are compared by a 64-bit digest over all documents; runs of adjoining chunks that other documents also hold are the
-repeated passages. A passage needs several consecutive matches, so a digest that two chunks share by chance makes none.
+repeated passages, divided where the first holder changes. A passage needs several consecutive matches, so a digest that two chunks share by chance makes none.
 
 A passage of more than 50 words holds a run of at least ``WORDS`` words but for a chance below 1 % (chunk ends are about 32 bytes apart, and what lies
 outside the first and last common chunk end is not counted); short common lines stay below it.
@@ -17,6 +17,9 @@ and repeat no passage to each other; an empty table gives an empty result; extra
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 import numpy as np
 import pyarrow as pa
 import xxhash
@@ -112,17 +115,30 @@ def chunks(docs: DataFrame) -> DataFrame:
 def repeated_passages(docs: DataFrame, words: int = WORDS) -> DataFrame:
     """One row per passage that other documents also hold: doc_id, start, end (code points), n_words, keep_doc_id, kept.
 
-    ``keep_doc_id`` is the smallest document that holds a part of the passage; ``kept`` is true where no earlier document holds any of it.
+    In a run of common chunks, those that no smaller document holds are the document's own, and so are fewer than ``words`` words beside them; such a part is ``kept``.
+    The rest is not kept and divided by the smallest document that holds each chunk, ``keep_doc_id``; fewer than ``words`` words of another one count with the part before
+    or after. Parts of less than ``words`` words are not reported. So a chunk is never given up in the first document that holds it, and each text has one that keeps it.
     """
     every = chunks(docs)
     # kept apart, so that the join shuffles both sides and a chunk of very many documents can be split
     common = cut(every.groupBy("d").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).filter("first < last").select("d", "first"))
     found = every.join(common, "d").select("doc_id", "start", "end", "n", "first").distinct()
     each = Window.partitionBy("doc_id").orderBy("start")
-    runs = found.withColumn("new", F.coalesce(F.lag("end").over(each) != F.col("start"), F.lit(True)).cast("int")).withColumn("run", F.sum("new").over(each))
-    passages = runs.groupBy("doc_id", "run").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words"), F.min("first").alias("keep_doc_id"))
+    changed = lambda *xs: F.coalesce(reduce(or_, (F.lag(x).over(each) != F.col(x) for x in xs)), F.lit(True)).cast("int")
+    runs = found.withColumn("new", F.coalesce(F.lag("end").over(each) != F.col("start"), F.lit(True)).cast("int")).withColumn("turn", F.greatest("new", changed("first")))
+    runs = runs.withColumns({"run": F.sum("new").over(each), "part": F.sum("turn").over(each)})
+    parts = runs.groupBy("doc_id", "run", "part", "first").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n"))
+    parts = parts.withColumn("own", F.col("first") == F.col("doc_id")).withColumn("turn", changed("run", "own")).withColumn("stretch", F.sum("turn").over(each))
+    of_run, of_stretch = Window.partitionBy("doc_id", "run"), Window.partitionBy("doc_id", "stretch")
+    parts = parts.withColumns({"size": F.sum("n").over(of_run), "some": F.max("own").over(of_run), "near": F.sum("n").over(of_stretch)}).filter(F.col("size") >= words)
+    parts = parts.withColumn("own", F.col("own") | F.col("some") & (F.col("near") < words)).withColumn("turn", changed("run", "own")).withColumn("stretch", F.sum("turn").over(each))
+    large, most = F.when(F.col("n") >= words, F.col("first")), F.max(F.struct("n", "first")).over(of_stretch)["first"]
+    before, any_large = F.last(large, True).over(of_stretch.orderBy("start")), F.first(large, True).over(of_stretch.orderBy("start").rowsBetween(Window.unboundedPreceding, Window.unboundedFollowing))
+    parts = parts.withColumn("keep_doc_id", F.when(F.col("own"), F.col("doc_id")).otherwise(F.coalesce(before, any_large, most)))
+    parts = parts.withColumn("turn", changed("run", "keep_doc_id")).withColumn("part", F.sum("turn").over(each))
+    passages = parts.groupBy("doc_id", "part", "keep_doc_id").agg(F.min("start").alias("start"), F.max("end").alias("end"), F.sum("n").alias("n_words")).filter(F.col("n_words") >= words)
     clean = {c: F.when(F.col(c) != NULL_ID, F.col(c)).alias(c) for c in ("doc_id", "keep_doc_id")}
-    return passages.filter(F.col("n_words") >= words).select(clean["doc_id"], "start", "end", "n_words", clean["keep_doc_id"], (F.col("keep_doc_id") == F.col("doc_id")).alias("kept"))
+    return passages.select(clean["doc_id"], "start", "end", "n_words", clean["keep_doc_id"], (F.col("keep_doc_id") == F.col("doc_id")).alias("kept"))
 
 
 def op9_substring_dedup(spark, sf_dir: str) -> DataFrame:

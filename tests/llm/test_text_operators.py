@@ -191,3 +191,17 @@ def test_repeated_passages(spark, empty):
         found = docs[r.doc_id][1][r.start : r.end]
         assert found in f" {passage} " and substring_dedup.WORDS <= r.n_words <= 56 and r.keep_doc_id == 0 and r.kept == (r.doc_id == 0)
     assert substring_dedup.repeated_passages(empty).count() == 0
+
+
+def test_copies_that_share_a_phrase_with_an_earlier_document(spark):
+    rnd = random.Random(11)
+    phrase, text, other = words(rnd, 15), [words(rnd, 90) for _ in range(3)], words(rnd, 80)
+    whole = f"{text[0]} {phrase} {text[1]}"
+    docs = {1: f"{words(rnd, 40)} {phrase} {words(rnd, 40)}", 2: f"{words(rnd, 30)} {other} {words(rnd, 30)}", 5: whole, 9: whole, 12: f"{other} {text[2]}", 14: f"{other} {text[2]}"}
+    got = substring_dedup.repeated_passages(spark.createDataFrame([(k, t, None, None) for k, t in docs.items()], SCHEMA)).collect()
+    of = lambda k: sorted((r.start, r.end, r.keep_doc_id, r.kept) for r in got if r.doc_id == k)
+    assert of(5) == [(0, len(whole), 5, True)]
+    assert of(9)[0][0] == 0 and of(9)[-1][1] == len(whole) and not any(kept for *_, kept in of(9)) and {k for *_, k, _ in of(9)} <= {1, 5}
+    assert sum(b - a for a, b, k, _ in of(9) if k == 5) > len(text[0]) + len(text[1]) - 100
+    assert {(k, kept) for *_, k, kept in of(12)} == {(2, False), (12, True)} and {(k, kept) for *_, k, kept in of(14)} == {(2, False), (12, False)}
+    assert all(docs[r.doc_id][r.start : r.end] in docs[r.keep_doc_id] for r in got)
