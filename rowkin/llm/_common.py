@@ -16,20 +16,27 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def small_batches(spark: SparkSession) -> None:
-    """Bound the rows and bytes of one Arrow batch, so that a worker's memory does not follow the number or length of the texts; one row may exceed it."""
+    """Bound the rows and bytes of one Arrow batch, so that a worker's memory does not follow the number or length of the texts; one row may exceed it.
+
+    The settings are read when a plan runs, so they stay lowered in the session.
+    """
     for name, most in (("maxRecordsPerBatch", ARROW_ROWS), ("maxBytesPerBatch", ARROW_BYTES)):
         key = f"spark.sql.execution.arrow.{name}"
         if not 0 < int(spark.conf.get(key).rstrip("b")) <= most:
             spark.conf.set(key, str(most))
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """``df`` computed once and kept in the folder of ``spark.checkpoint.dir``, which all executors share.
+def shared_folder(spark: SparkSession) -> str:
+    """The folder of ``spark.checkpoint.dir``, which all executors share. Only a session on this machine alone may do without: it gets a temporary folder."""
+    folder = spark.conf.get("spark.checkpoint.dir", None)
+    if folder is None and not spark.sparkContext.master.partition("[")[0] == "local":
+        raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
+    return folder or tempfile.mkdtemp(prefix="rowkin-")
 
-    A later stage reads it from there, also after executors are lost. Where the setting is absent (local tests), a temporary folder is set.
-    """
-    spark = df.sparkSession
-    context = spark.sparkContext
+
+def cut(df: DataFrame) -> DataFrame:
+    """``df`` computed once and kept in the folder of ``spark.checkpoint.dir``, from which later stages read it, also after executors are lost."""
+    context = df.sparkSession.sparkContext
     if context._jsc.sc().getCheckpointDir().isEmpty():
-        context.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="rowkin-"))
+        context.setCheckpointDir(shared_folder(df.sparkSession))
     return df.checkpoint(eager=True)

@@ -6,7 +6,7 @@ rows arrives as a few rows. Ids are then joined to their group by the 16-byte ha
 count over the narrow group table) take a second join that compares the texts.
 
 Defined cases: a null text counts as empty; an empty table gives an empty result; rows with a null id can only stay if every id of their group is
-null; a row repeated with the same id and text shares the decision of its twin, and ``keep_exact`` leaves one of them. Extra columns are ignored
+null; a row repeated with the same id and text shares the decision of its twin, and ``keep_exact`` leaves one of them. Extra columns of any type, maps included, are ignored
 by ``exact_groups`` and carried by ``keep_exact``.
 """
 
@@ -16,6 +16,7 @@ from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from rowkin.llm._common import cut, table
 
@@ -43,19 +44,28 @@ def exact_groups(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", tex
     return found.select(F.col("i").alias(id_col), "keep_id", "group_size", F.col("i").eqNullSafe(F.col("keep_id")).alias("kept"), F.lower(F.hex("s")).alias("text_sha256"))
 
 
+def _has_map(kind: T.DataType) -> bool:
+    if isinstance(kind, T.StructType):
+        return any(_has_map(f.dataType) for f in kind.fields)
+    return isinstance(kind, T.MapType) or isinstance(kind, T.ArrayType) and _has_map(kind.elementType)
+
+
 def keep_exact(docs: DataFrame, keep: str = "max", id_col: str = "doc_id", text_col: str = "text", hash_of: Callable[[Column], Column] = content_hash) -> DataFrame:
     """The rows that stay, with all their columns, after one shuffle: one row for each distinct text.
 
-    Of rows that tie on the id, the one with the greatest remaining columns stays.
+    Of rows that tie on the id, the one whose other columns have the greatest hash stays. Texts are sorted within a task, by their hash.
     """
-    best = {"min": F.min, "max": F.max}[keep]
+    best = {"min": F.min_by, "max": F.max_by}[keep]
     rest = [c for c in docs.columns if c not in (id_col, text_col)]
-    row = F.struct(F.col(id_col).alias("r0"), *(F.col(c).alias(f"r{k}") for k, c in enumerate(rest, 1)), F.col(text_col).isNull().alias("none"))
-    if keep == "min":  # a null id sorts first, yet must not stay before a known one
-        row = F.struct(F.col(id_col).isNull().alias("last"), *(row[f"r{k}"].alias(f"r{k}") for k in range(len(rest) + 1)), row["none"].alias("none"))
-    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), row.alias("r")).withColumn("h", hash_of(F.col("t")))
-    kept = rows.groupBy("h", "t").agg(best("r").alias("r"))
-    back = {id_col: F.col("r.r0"), text_col: F.when(~F.col("r.none"), F.col("t")), **{c: F.col(f"r.r{k}") for k, c in enumerate(rest, 1)}}
+    names = {c: f"r{k}" for k, c in enumerate([id_col, *rest])}
+    row = F.struct(*(F.col(f"`{c}`").alias(n) for c, n in names.items()), F.col(text_col).isNull().alias("none"))
+    # maps have neither an order nor a hash
+    tie = F.xxhash64(*(F.to_json(F.struct(f"`{c}`")) if _has_map(docs.schema[c].dataType) else F.col(f"`{c}`") for c in rest), F.col(text_col).isNull())
+    # a null id sorts first, yet must not stay before a known one
+    order = F.struct(*([F.col(id_col).isNull().alias("last")] if keep == "min" else []), F.col(id_col).alias("i"), tie.alias("tie"))
+    rows = docs.select(F.coalesce(F.col(text_col), F.lit("")).alias("t"), row.alias("r"), order.alias("o")).withColumn("h", hash_of(F.col("t")))
+    kept = rows.groupBy("h", "t").agg(best("r", "o").alias("r"))
+    back = {text_col: F.when(~F.col("r.none"), F.col("t")), **{c: F.col(f"r.{n}") for c, n in names.items()}}
     return kept.select(*(back[c].alias(c) for c in docs.columns))
 
 

@@ -1,17 +1,18 @@
 """Main text of web pages by a recurrent block labeller.
 
 A page becomes its sequence of leaf blocks: the text between block-level tags, in page order. Each block is read as a vector of its tag path (tags, and the words of
-class, id and role on the way down, hashed), of its hashed words, and of a few shares. A bidirectional LSTM in numpy passes over the whole
-sequence, so a block's label depends on all that stands before and behind it on the page; blocks labelled as main text are joined.
+class, id and role on the way down, hashed), of its hashed words, of how many elements opened and closed before it, and of a few shares. A bidirectional LSTM in numpy passes
+over the whole sequence, so a block's label depends on all that stands before and behind it on the page; blocks labelled as main text are joined.
 
-The labeller is trained in the session on at most ``SAMPLE`` pages of the table, drawn by a hash of the id, on every size alike. Their labels come from pages that say
-themselves what is what (article or main, navigation, footer and so on), and from the same content laid out anew without these tags, with sidebars, notices,
-forms, adverts and reader comments among it. Without such a page in the sample, generated pages alone train it.
+The labeller is trained in the session on at most ``SAMPLE`` pages of the table, and ``CHARS`` characters of them, drawn by a hash on every size alike. Their labels come from pages
+that say themselves what is what (article or main, navigation, footer and so on), and from the same content laid out anew, with sidebars, notices,
+forms, adverts and reader comments among it. So that the labeller does not lean on these names, most pages are read for training with their names hidden: tags such as article or footer
+as div, class words dropped or replaced by invented ones; the labels stay. Without a page of the first kind in the sample, generated pages alone train it.
 
 Scripts, styles, comments of the markup and the like are no text. Character references are decoded; white space inside a block becomes one space.
 
 Defined cases: null and empty pages have an empty text, as have pages without main text; null ids and urls are carried; repeated rows are each extracted; an empty
-table gives an empty result; extra columns are ignored; markup that does not close or nest is read as far as it goes.
+table gives an empty result; extra columns are ignored; markup that does not close or nest is read as far as it goes, in time that grows with its length.
 """
 
 from __future__ import annotations
@@ -20,6 +21,7 @@ import html
 import random
 import re
 import zlib
+from collections import Counter
 from dataclasses import dataclass
 
 import numpy as np
@@ -29,10 +31,10 @@ from pyspark.sql import functions as F
 
 from rowkin.llm._common import small_batches, table
 
-#: Pages to train on, and characters of one.
-SAMPLE, LONGEST, SEED = 400, 500_000, 7
-PATHS, WORDS, SHARES, HIDDEN = 64, 32, 6, 16
-EPOCHS, BATCH, RATE = 16, 24, 0.02
+#: Pages to train on, characters of one, and of all together.
+SAMPLE, LONGEST, CHARS, SEED = 400, 100_000, 8_000_000, 7
+PATHS, WORDS, SHARES, HIDDEN = 64, 32, 13, 24
+EPOCHS, BATCH, RATE = 9, 12, 0.012
 
 _BLOCK = set("address article aside blockquote body button center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 head header hr html legend li main menu nav ol option p pre section select summary table tbody td textarea tfoot th thead title tr ul".split())
 _SILENT = "script|style|noscript|template|svg|iframe|object"
@@ -45,29 +47,77 @@ ASIDE = ("nav", "menu", "header", "footer", "aside", "sidebar", "notice", "cooki
 MAIN = ("article", "main")
 
 
+#: Tags that say what a part is; hidden in most pages to train on.
+_TELLING = set("article main nav menu header footer aside section form address".split())
+
+
+class Path:
+    """The open block-level elements at a place of a page: the last one's tag, whether one of all is a main part or is set aside, and their hashed words as counts.
+
+    ``shown`` is what the counts read, the element's own tag and words or others.
+    """
+
+    __slots__ = ("tag", "main", "aside", "depth", "counts", "below", "_vector")
+
+    def __init__(self, parent: Path | None = None, tag: str = "", words: tuple[str, ...] = (), shown: tuple[str, ...] = ()):
+        self.tag, self.below, self._vector = shown[0] if shown else tag, {}, None
+        self.main, self.aside, self.depth = tag in MAIN, tag in ASIDE or any(w in ASIDE for w in words), 0
+        if parent is None:
+            self.counts = np.zeros(PATHS, np.float32)
+            return
+        self.main, self.aside, self.depth, self.counts = self.main or parent.main, self.aside or parent.aside, parent.depth + 1, parent.counts.copy()
+        for w in shown:
+            self.counts[zlib.crc32(w.encode()) % (PATHS - 16)] += 1
+
+    @property
+    def vector(self) -> np.ndarray:
+        if self._vector is None:
+            self._vector = np.log1p(self.counts) * np.float32(1.4)
+            self._vector[PATHS - 16 + zlib.crc32(self.tag.encode()) % 16] = 1
+        return self._vector
+
+
 @dataclass
 class Block:
-    path: tuple[str, ...]
+    path: Path
     text: str
     linked: int  # characters in links
+    opened: int  # block-level elements since the block before
+    closed: int
+
 
+_top = Path()
+_paths = 0  # below _top
 
-def blocks_of(page: str | None) -> list[Block]:
-    """The leaf blocks of a page, in order. A block's path has an entry for each open block-level element: the tag and its class, id and role words."""
+
+def blocks_of(page: str | None, shown=None) -> list[Block]:
+    """The leaf blocks of a page, in order. ``shown``: for training, the words to read in the place of an element's tag and class, id and role words."""
+    global _top, _paths
+    if _paths > 20_000:
+        _top, _paths = Path(), 0
     out: list[Block] = []
-    stack: list[tuple[str, str]] = []
+    stack, path, open_tags = [], Path() if shown else _top, Counter()
     parts: list[str] = []
-    linked, inside = 0, False
+    linked, inside, opened, closed = 0, False, 0, 0
 
     def flush():
-        nonlocal linked
+        nonlocal linked, opened, closed
         if parts:
             text = _SPACE.sub(" ", html.unescape("".join(parts))).strip()
             if text:
-                out.append(Block(tuple(e for _, e in stack), text, linked))
+                out.append(Block(path, text, linked, opened, closed))
+                opened = closed = 0
             parts.clear()
         linked = 0
 
+    def close(n: int):
+        """Leave the last n open elements."""
+        nonlocal path, closed
+        for _ in range(n):
+            tag, path = stack.pop()
+            open_tags[tag] -= 1
+        closed += n
+
     for m in _PARTS.finditer(page or ""):
         text = m["text"]
         if text is not None:
@@ -86,33 +136,41 @@ def blocks_of(page: str | None) -> list[Block]:
             continue
         flush()
         if m["close"]:
-            at = next((k for k in range(len(stack) - 1, -1, -1) if stack[k][0] == tag), None)
-            if at is not None:
-                del stack[at:]
+            if open_tags[tag]:
+                close(next(n for n, (t, _) in enumerate(reversed(stack), 1) if t == tag))
         elif tag not in _VOID:
             if stack and (stack[-1][0] == tag and tag in ("p", "li", "option", "dd", "dt", "td", "th") or stack[-1][0] == "p"):
-                stack.pop()
-            names = " ".join(x for v in _NAMES.findall(m["rest"]) for x in re.findall("[a-z]+", v.lower())) if m["rest"] else ""
-            stack.append((tag, f"{tag} {names}".strip()))
+                close(1)
+            words = tuple(x for v in _NAMES.findall(m["rest"]) for x in re.findall("[a-z]+", v.lower())) if m["rest"] else ()
+            stack.append((tag, path))
+            open_tags[tag] += 1
+            opened += 1
+            if (below := path.below.get((tag, words))) is None:
+                below = path.below[tag, words] = Path(path, tag, words, shown(tag, words) if shown else (tag, *words))
+                _paths += not shown
+            path = below
     flush()
     return out
 
 
-_path_cache: dict[tuple[str, ...], np.ndarray] = {}
-_word_cache: dict[str, int] = {}
+def hidden(rnd: random.Random):
+    """A way to show the elements of a page to train on: as they are, or telling tags as div and words kept, dropped or replaced by invented ones."""
+    way = rnd.choices(("plain", "kept", "dropped", "invented"), (3, 2, 3, 2))[0]
+    instead: dict[str, str] = {}
+    neutral = rnd.choice(("div", "div", "section"))
 
+    def shown(tag: str, words: tuple[str, ...]) -> tuple[str, ...]:
+        if way == "plain":
+            return tag, *words
+        tag = neutral if tag in _TELLING else tag
+        if way == "kept":
+            return tag, *words
+        return (tag, *(instead.setdefault(w, f"w{rnd.randrange(10**6)}") for w in words)) if way == "invented" else (tag,)
+
+    return shown
 
-def _path(path: tuple[str, ...]) -> np.ndarray:
-    found = _path_cache.get(path)
-    if found is None:
-        found = np.zeros(PATHS, np.float32)
-        words = [w for e in path for w in e.split()]
-        for w in words:
-            found[zlib.crc32(w.encode()) % (PATHS - 16)] += 1
-        found[PATHS - 16 + zlib.crc32((path[-1].split()[0] if path else "").encode()) % 16] = 1
-        if len(_path_cache) < 20_000:
-            _path_cache[path] = found
-    return found
+
+_word_cache: dict[str, int] = {}
 
 
 def _bucket(word: str) -> int:
@@ -134,8 +192,9 @@ def vectors(pages: list[list[Block]]) -> list[np.ndarray]:
     chars = np.array([len(b.text) for b in every], np.int64)
     place = np.concatenate([(np.arange(len(p)) + 0.5) / len(p) for p in pages if p] or [np.zeros(0)])
     stops = np.array([sum(w[-1] in ".,;:!?" for w in row) for row in words]) if every else np.zeros(0)
-    shares = np.column_stack([np.log1p(n) / 3, np.log1p(chars) / 5, np.array([b.linked for b in every]) / np.maximum(chars, 1), stops / np.maximum(n, 1), place, np.ones(len(every))]) if every else np.zeros((0, SHARES))
-    paths = np.array([_path(b.path) for b in every]).reshape(-1, PATHS)
+    of_block = np.array([(b.linked, b.opened, b.closed, b.path.depth) for b in every], np.float32).reshape(-1, 4)
+    shares = np.column_stack([np.log1p(n) / 3, np.log1p(chars) / 5, of_block[:, 0] / np.maximum(chars, 1), stops / np.maximum(n, 1), place, np.ones(len(every)), np.log1p(of_block[:, 1:]), of_block[:, 1:3] >= 2, of_block[:, 1:3] >= 3]) if every else np.zeros((0, SHARES))
+    paths = np.array([b.path.vector for b in every]).reshape(-1, PATHS)
     rows = np.concatenate([paths, bags, shares], axis=1).astype(np.float32)
     return np.split(rows, np.cumsum([len(p) for p in pages])[:-1]) if pages else []
 
@@ -249,15 +308,17 @@ class Labeller:
         return loss, found
 
     def train(self, pages: list[np.ndarray], labels: list[np.ndarray], epochs: int = EPOCHS, seed: int = SEED) -> Labeller:
-        """Adam over shuffled batches; the rate falls to zero."""
+        """Adam over shuffled batches of pages of like length; the rate falls to zero."""
         rnd, step = random.Random(seed), 0
         first, second = ({k: np.zeros_like(v) for k, v in self.weights.items()} for _ in range(2))
         order = [k for k in range(len(pages)) if len(pages[k])]
         total = epochs * -(-len(order) // BATCH)
         for _ in range(epochs):
             rnd.shuffle(order)
-            for at in range(0, len(order), BATCH):
-                chosen = order[at : at + BATCH]
+            order.sort(key=lambda k: len(pages[k]))
+            batches = [order[at : at + BATCH] for at in range(0, len(order), BATCH)]
+            rnd.shuffle(batches)
+            for chosen in batches:
                 _, found = self.gradients([pages[k] for k in chosen], [labels[k] for k in chosen])
                 step += 1
                 rate = RATE * (1 - (step - 1) / total)
@@ -271,10 +332,9 @@ class Labeller:
 
 def own_labels(blocks: list[Block]) -> np.ndarray | None:
     """Labels of a page that marks its own parts: main text is inside article or main and in no part that is set aside. None without such a mark."""
-    if not any(e.split()[0] in MAIN for b in blocks for e in b.path):
+    if not any(b.path.main for b in blocks):
         return None
-    within = [any(e.split()[0] in MAIN for e in b.path) and not any(w in ASIDE for e in b.path for w in e.split()) for b in blocks]
-    return np.array(within, np.float32)
+    return np.array([b.path.main and not b.path.aside for b in blocks], np.float32)
 
 
 _INVENTED = "lorem ipsum dolor sit amet consectetur elit sed do eiusmod tempor incididunt ut labore et dolore magna aliqua enim minim veniam quis nostrud".split()
@@ -299,6 +359,8 @@ def layouts(texts: list[list[str]], rnd: random.Random, number: int) -> list[tup
         def box(name: str, items: list[str], put=put):
             """A part set aside: by its own tag, or a div, section or ul with the name among its class or id words."""
             tag = name if name in ("nav", "header", "footer", "aside", "form") and rnd.random() < 0.7 else rnd.choice(("div", "section", "div"))
+            if tag != name and rnd.random() < 0.4:  # a name never seen
+                name = "".join(rnd.choices("abcdefghijklmnopqrstuvwxyz", k=rnd.randrange(3, 10)))
             attribute = "" if tag == name and rnd.random() < 0.6 else f' {rnd.choice(("class", "id", "class", "role"))}="{rnd.choice(("", "", "site-", "page-", "main-", "top ", "block "))}{name}{rnd.choice(("", "", "-box", " small", "-list", "-wrap"))}"'
             put(f"<{tag}{attribute}>")
             style = rnd.random()
@@ -313,15 +375,19 @@ def layouts(texts: list[list[str]], rnd: random.Random, number: int) -> list[tup
             put(f"</{tag}>")
 
         body = rnd.choice(("<body>", "<body>", "<body class=home>", "", "<body><div id=page>"))
-        put(f"<!DOCTYPE html><html><head><title>{short(1, 9)}</title><script>var a='<p>';</script></head>{body}", False)
-        for name in ("header", "nav", "menu", "breadcrumb", "notice", "cookie", "banner", "search", "ad"):
+        bare = rnd.random() < 0.12  # an article and nothing else
+        if not bare or rnd.random() < 0.5:
+            put(f"<!DOCTYPE html><html><head><title>{short(1, 9)}</title><script>var a='<p>';</script></head>", False)
+        put(body)
+        for name in () if bare else ("header", "nav", "menu", "breadcrumb", "notice", "cookie", "banner", "search", "ad"):
             if rnd.random() < 0.3:
                 box(name, [short(1, 6) for _ in range(rnd.randrange(1, 7))] if rnd.random() < 0.6 else [sentence() for _ in range(rnd.randrange(1, 3))])
         frame = rnd.choice(("article", "main", "article", "article class=post", "article class=x id=y", "main id=content", "div class=content", "div class=post-body", "div class=article-text", "div id=main", "div class=entry", "div class=story", "section", "div", ""))
         if frame:
             put(f"<{frame}>")
-        if rnd.random() < 0.8:
-            put(f"<h1>{short(3, 12)}</h1>", True)
+        if rnd.random() < 0.85:
+            head = rnd.choice(("h1", "h1", "h1", "h2", "div", "p"))
+            put(f"<{head}>{short(3, 12)}</{head}>", True)
         paragraphs = rnd.choice(articles)
         chance = rnd.random()
         if chance < 0.15:  # a short article
@@ -329,15 +395,16 @@ def layouts(texts: list[list[str]], rnd: random.Random, number: int) -> list[tup
         elif chance < 0.35:  # many short lines, some of them again and again
             paragraphs = [" ".join(p.split()[: rnd.randrange(1, 6)]) for p in rnd.choices(paragraphs or pool, k=rnd.randrange(1, 60))]
             paragraphs = [p if p.endswith(".") else p + "." for p in paragraphs if p]
+        in_divs = rnd.random() < 0.15
         for k, p in enumerate(paragraphs):
             style = rnd.random()
             p = html.escape(p)
-            put(f"<p>{p}</p>" if style < 0.75 else f"<p><b>{p}<br>" if style < 0.85 else f"<div>{p}</div>" if style < 0.9 else f"<h2>{p}</h2>" if len(p) < 80 else f"<blockquote>{p}</blockquote>", True)
+            put(f"<div>{p}</div>" if in_divs or 0.85 <= style < 0.9 else f"<p>{p}</p>" if style < 0.75 else f"<p><b>{p}<br>" if style < 0.85 else f"<h2>{p}</h2>" if len(p) < 80 else f"<blockquote>{p}</blockquote>", True)
             if k + 1 < len(paragraphs) and rnd.random() < 0.08:
                 box(rnd.choice(("ad", "promo", "related", "newsletter", "advert", "share", "aside")), [sentence() for _ in range(rnd.randrange(1, 3))])
         if frame:
             put(f"</{frame.split()[0]}>")
-        for name in ("aside", "sidebar", "related", "share", "comments", "comment", "form", "subscribe", "ad", "notice", "footer"):
+        for name in () if bare else ("aside", "sidebar", "related", "share", "comments", "comment", "form", "subscribe", "ad", "notice", "footer"):
             if rnd.random() < (0.9 if name == "footer" else 0.3):
                 box(name, [sentence() for _ in range(rnd.randrange(1, 6))] if name.startswith("comment") or rnd.random() < 0.4 else [short(1, 8) for _ in range(rnd.randrange(1, 6))])
         put("</body></html>")
@@ -346,18 +413,18 @@ def layouts(texts: list[list[str]], rnd: random.Random, number: int) -> list[tup
 
 
 def fit(pages: list[str], seed: int = SEED) -> Labeller:
-    """A labeller trained on sample pages and on as many generated ones, at least 150, from their content."""
+    """A labeller trained on sample pages and on twice as many generated ones, at least 300, from their content."""
     rnd = random.Random(seed)
     sequences, labels, texts = [], [], []
     for page in pages:
-        blocks = blocks_of(page)
+        blocks = blocks_of(page, hidden(rnd))
         own = own_labels(blocks)
         if own is not None:
             sequences.append(blocks)
             labels.append(own)
             texts.append([b.text for b, y in zip(blocks, own, strict=True) if y])
-    for page, said in layouts(texts, rnd, max(150, 2 * len(sequences))):
-        blocks = blocks_of(page)
+    for page, said in layouts(texts, rnd, max(300, 2 * len(texts))):
+        blocks = blocks_of(page, hidden(rnd))
         if len(blocks) == len(said):
             sequences.append(blocks)
             labels.append(np.array(said, np.float32))
@@ -365,13 +432,20 @@ def fit(pages: list[str], seed: int = SEED) -> Labeller:
 
 
 def sample_of(pages: DataFrame, most: int = SAMPLE) -> list[str]:
-    """At most ``most`` pages of up to ``LONGEST`` characters, drawn by a hash of the id."""
-    known = pages.filter(F.length("html") <= LONGEST)
-    n = known.count()
-    below = int(min(1.0, 1.2 * most / n) * (1 << 30)) if n else 0
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit(""))), F.lit(1 << 30))
-    drawn = known.filter(place < below).select(place.alias("k"), "html").limit(4 * most).collect()
-    return [r["html"] for r in sorted(drawn)[:most]]
+    """At most ``most`` pages of up to ``LONGEST`` characters, and ``CHARS`` in all, drawn by a hash of id and content."""
+    known = pages.select(F.xxhash64(F.coalesce(F.col("page_id").cast("string"), F.lit("")), "html").alias("k"), "html").filter(F.length("html") <= LONGEST)
+    size = known.agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("html")).alias("chars")).first()
+    if not size["n"]:
+        return []
+    share = min(1.0, 1.2 * most / size["n"], 1.2 * CHARS / max(1, size["chars"]))
+    # the limit holds where one page is repeated very often
+    drawn = known.filter(F.pmod("k", F.lit(1 << 30)) < (int(share * (1 << 30)) or 1)).limit(2 * most).collect()
+    out, left = [], CHARS
+    for r in sorted(drawn)[:most]:
+        left -= len(r["html"])
+        if left >= 0:
+            out.append(r["html"])
+    return out
 
 
 def extract(page_html: list[str | None], labeller: Labeller) -> list[str]:
@@ -397,6 +471,22 @@ def main_text(pages: DataFrame, labeller: Labeller) -> DataFrame:
     return pages.select("page_id", "url", "html").mapInArrow(of_batch, f"page_id {kind.simpleString()}, url string, text string, n_chars long")
 
 
+def fitted(pages: DataFrame) -> Labeller:
+    """A labeller for a table, trained on its sample in one task, whose arithmetic takes one core."""
+    import pickle
+
+    spark = pages.sparkSession
+    sample = spark.sparkContext.broadcast(sample_of(pages))
+
+    def train(batches):
+        for _ in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([pickle.dumps(fit(sample.value).weights)], pa.binary())], ["weights"])
+
+    labeller = Labeller()
+    labeller.weights = pickle.loads(spark.range(0, 1, 1, 1).mapInArrow(train, "weights binary").first()["weights"])
+    return labeller
+
+
 def op6_html_text(spark, sf_dir: str) -> DataFrame:
     pages = table(spark, sf_dir, "pages")
-    return main_text(pages, fit(sample_of(pages)))
+    return main_text(pages, fitted(pages))

@@ -5,14 +5,15 @@ are counted for each language, the counts corrected for the share of absent n-gr
 c' = (c - n p) / (1 - p), and the language with the greatest corrected count is predicted (of equal ones the first by name). The score is that
 count as a share of the text's n-grams.
 
-The filters are learned from a bounded sample of labelled texts: ``PER_LANGUAGE`` documents of each language, ``SAMPLE`` in all, of up to ``LONGEST`` characters, drawn by a
-hash of the id. Predictions read whole texts of any length. An n-gram
+The filters are learned from a bounded sample of labelled texts: ``PER_LANGUAGE`` documents of each language, ``SAMPLE`` in all, the first ``LONGEST`` characters of each and about
+``CHARS`` characters in all, drawn by a hash of id and text; of the ``MOST_LANGUAGES`` languages with the most rows. Predictions read whole texts of any length. An n-gram
 enters a language's filter if it was seen at least ``least_seen`` times there, and at least ``share`` as often (per n-gram read) as in
 the language where it is most frequent; so foreign words and wrong labels in a sample do not spread. N-grams are lower-cased letters with
 one space for each run of other characters.
 
-Defined cases: null texts and texts without a letter are ``und`` with score 0, as is everything where no label was given to learn from; nulls in the label leave a row out of the
-sample only; repeated rows are each predicted; an empty table gives an empty result; extra columns are ignored by ``predict``.
+Defined cases: null texts and texts without a letter are ``und`` with score 0, as is everything where no label was given to learn from (``keep_known`` then keeps all rows, having
+nothing to judge by); nulls in the label leave a row out of the sample only; repeated rows are each predicted; an empty table gives an empty result; extra columns are ignored by
+``predict`` and carried by ``keep_known``.
 """
 
 from __future__ import annotations
@@ -28,13 +29,14 @@ from pyspark.sql import functions as F
 from rowkin.llm._common import small_batches, table
 
 N = 4
-#: The sample to learn from: documents of each language, of all together, and characters of a document in it.
-PER_LANGUAGE, SAMPLE, LONGEST = 1500, 12_000, 50_000
+#: The sample to learn from: documents of each language, of all together, characters of a document in it, and of all together.
+PER_LANGUAGE, SAMPLE, LONGEST, CHARS = 1500, 12_000, 20_000, 60_000_000
 LEAST_SEEN = 2
 SHARE = 0.25
-#: Slots of the filter, and slots for each n-gram.
+#: Slots of the filter, and slots for each n-gram. A slot has as many words of 64 bits as its languages need.
 SLOTS, HASHES = 1 << 20, 3
-MOST_LANGUAGES = 64
+#: Distinct labels to learn at most, which bounds the filter to 64 MB.
+MOST_LANGUAGES = 512
 UNKNOWN = "und"
 #: Below this score the pipeline does not take a text for any known language.
 LEAST_SCORE, LEAST_GRAMS = 0.35, 20
@@ -76,11 +78,12 @@ def grams(texts: list[str | None]) -> tuple[np.ndarray, np.ndarray]:
 @dataclass
 class Filters:
     languages: list[str]
-    slots: np.ndarray
+    slots: np.ndarray  # words by slots; bit k % 64 of word k // 64 is language k
     wrong: list[float]  # chance of a false positive, by language
 
     def masks(self, h: np.ndarray) -> np.ndarray:
-        return reduce(np.bitwise_and, (self.slots[p] for p in _places(h, self.slots.size)))
+        """The set of languages that contain each n-gram: as many words as a slot has, by n-grams."""
+        return reduce(np.bitwise_and, (self.slots[:, p] for p in _places(h, self.slots.shape[1])))
 
     def _scored(self, texts: list[str | None]) -> tuple[np.ndarray, np.ndarray, np.ndarray, list[bool]]:
         """Place of the best language, score, number of n-grams, and whether there is a letter, of each text."""
@@ -89,7 +92,7 @@ class Filters:
         found = self.masks(h)
         best, which = np.full(len(texts), -np.inf), np.zeros(len(texts), np.int64)
         for k, p in enumerate(self.wrong):
-            hits = np.concatenate(([0], np.cumsum((found >> found.dtype.type(k)) & found.dtype.type(1), dtype=np.int64)))
+            hits = np.concatenate(([0], np.cumsum(_bit(found, k), dtype=np.int64)))
             right = (hits[begins[1:]] - hits[begins[:-1]] - n * p) / max(1 - p, 1e-9)
             better = right > best
             best[better], which[better] = right[better], k
@@ -102,9 +105,9 @@ class Filters:
         return [(self.languages[k], float(s)) if ok else (UNKNOWN, 0.0) for k, s, ok in zip(which, score, letters, strict=True)]
 
     def known(self, texts: list[str | None], least_score: float) -> list[bool]:
-        """Whether each text is taken for one of the languages. Texts of less than ``LEAST_GRAMS`` n-grams have too little to reject them by; nothing is known without labels."""
+        """Whether each text is taken for one of the languages. Texts of less than ``LEAST_GRAMS`` n-grams have too little to reject them by, as has every text without labels."""
         if not self.languages:
-            return [False] * len(texts)
+            return [True] * len(texts)
         _, score, n, letters = self._scored(texts)
         return [ok and (m < LEAST_GRAMS or s >= least_score) for s, m, ok in zip(score.tolist(), n.tolist(), letters, strict=True)]
 
@@ -114,24 +117,28 @@ def _places(h: np.ndarray, slots: int) -> list[np.ndarray]:
     return [((h + np.uint64(k) * step) & np.uint64(slots - 1)).astype(np.int64) for k in range(HASHES)]
 
 
+def _bit(words: np.ndarray, k: int) -> np.ndarray:
+    """Bit k of each slot or n-gram."""
+    row = words[k // 64]
+    return row >> row.dtype.type(k % 64) & row.dtype.type(1)
+
+
 def learn(samples: dict[str, list[str]], slots: int = SLOTS, least_seen: int = LEAST_SEEN, share: float = SHARE) -> Filters:
     """Filters of the given texts of each language."""
     names = sorted(samples)
-    if len(names) > MOST_LANGUAGES:
-        raise ValueError(f"{len(names)} languages; one slot has bits for {MOST_LANGUAGES}")
-    kind = next(t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32), (np.uint64, 64)) if len(names) <= bits)
+    kind = next((t for t, bits in ((np.uint8, 8), (np.uint16, 16), (np.uint32, 32)) if len(names) <= bits), np.uint64)
     seen = [np.unique(grams(samples[x])[0], return_counts=True) for x in names]
     rates = [n / max(1, n.sum()) for _, n in seen]
     every, at = np.unique(np.concatenate([g for g, _ in seen] or [np.zeros(0, np.uint64)]), return_inverse=True)
     top = np.zeros(every.size)
     np.maximum.at(top, at, np.concatenate(rates or [np.zeros(0)]))
-    filters, a = np.zeros(slots, kind), 0
+    filters, a = np.zeros((-(-len(names) // 64) or 1, slots), kind), 0
     for k, ((g, n), r) in enumerate(zip(seen, rates, strict=True)):
         own = g[(n >= least_seen) & (r >= share * top[at[a : a + g.size]])]
         a += g.size
         for p in _places(own, slots):
-            filters[p] |= kind(1 << k)
-    return Filters(names, filters, [float((filters >> kind(k) & kind(1)).mean()) ** HASHES for k in range(len(names))])
+            filters[k // 64, p] |= kind(1 << k % 64)
+    return Filters(names, filters, [float(_bit(filters, k).mean()) ** HASHES for k in range(len(names))])
 
 
 def held_out(doc_id: Column) -> Column:
@@ -140,16 +147,19 @@ def held_out(doc_id: Column) -> Column:
 
 
 def fit(docs: DataFrame, per_language: int = PER_LANGUAGE, slots: int = SLOTS) -> Filters:
-    """Filters of at most ``per_language`` labelled documents of each language, drawn by a hash of the id among those that are not held out."""
-    known = docs.filter(F.col("lang").isNotNull() & (F.length("text") <= LONGEST) & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
-    counts = {r["lang"]: r["count"] for r in known.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(MOST_LANGUAGES).collect()}
-    if not counts:
-        return Filters([], np.zeros(slots, np.uint8), [])
-    per_language = min(per_language, SAMPLE // len(counts))
-    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), F.lit(1 << 30))
-    below = F.coalesce(*(F.when(F.col("lang") == x, F.lit(int(min(1.0, 0.9 * per_language / n if n > per_language else 1.0) * (1 << 30)))) for x, n in counts.items()), F.lit(-1))
-    samples: dict[str, list[str]] = {x: [] for x in counts}
-    for r in known.filter(place < below).select("lang", "text").collect():  # at most about per_language texts of each language
+    """Filters of at most ``per_language`` labelled documents of each language, drawn by a hash of id and text among those that are not held out."""
+    known = docs.filter(F.col("lang").isNotNull() & F.col("text").isNotNull() & ~F.coalesce(held_out(F.col("doc_id")), F.lit(False)))
+    known = known.select("doc_id", "lang", F.left("text", F.lit(LONGEST)).alias("text"))
+    sizes = known.groupBy("lang").agg(F.count(F.lit(1)).alias("n"), F.sum(F.length("text")).alias("chars")).orderBy(F.desc("n"), "lang").limit(MOST_LANGUAGES).collect()
+    if not sizes:
+        return Filters([], np.zeros((1, slots), np.uint8), [])
+    per_language, chars = max(1, min(per_language, SAMPLE // len(sizes))), CHARS / len(sizes)
+    place = F.pmod(F.xxhash64(F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "text"), F.lit(1 << 30))
+    shares = {r["lang"]: min(1.0, 0.9 * per_language / r["n"] if r["n"] > per_language else 1.0, chars / max(1, r["chars"])) for r in sizes}
+    below = F.coalesce(*(F.when(F.col("lang") == x, F.lit(int(share * (1 << 30)) or 1)) for x, share in shares.items()), F.lit(-1))
+    samples: dict[str, list[str]] = {x: [] for x in shares}
+    # about per_language texts of each language; the limit holds where one row is repeated very often
+    for r in sorted(known.filter(place < below).select(place.alias("k"), "lang", "text").limit(2 * per_language * len(sizes)).collect()):
         if len(samples[r["lang"]]) < per_language:
             samples[r["lang"]].append(r["text"])
     return learn({x: t for x, t in samples.items() if t}, slots)

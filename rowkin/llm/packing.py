@@ -54,10 +54,10 @@ class Encoder(dict):
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
         with open(ranks, "rb") as f:
             merges = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
-        self.part = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={}).encode_ordinary
+        self.part = tiktoken.Encoding("ranks", pat_str=public_tokenizers.PATTERN, mergeable_ranks=merges, special_tokens={})._encode_single_piece  # a pre-token is not split again: very long ones overflow its pattern
 
     def __missing__(self, piece: str) -> bytes:
-        ids = self.part(piece)
+        ids = self.part(piece.encode("utf-8", "replace"))
         found = struct.pack(f"<{len(ids)}I", *ids)
         if len(piece) <= 32 and len(self) < REMEMBERED:  # the first to come are the frequent ones
             self[piece] = found

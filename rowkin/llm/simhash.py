@@ -10,8 +10,7 @@ less): every member names itself and the fingerprints one flipped unmasked bit a
 member. Two fingerprints name a common one if and only if they differ in at most two bits.
 
 Defined cases: null and empty texts, or texts without a word, have fingerprint zero and are linked like any other; fewer words than a shingle make
-one shingle; repeated rows and ids are each returned; an empty table gives an empty result; extra columns are ignored by ``simhash_groups`` and
-carried by ``keep_near``.
+one shingle; repeated rows and ids are each returned; an empty table gives an empty result; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -106,14 +105,5 @@ def simhash_groups(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS
     return each.join(of_print, "f").select("doc_id", F.lower(F.lpad(F.hex("f"), 16, "0")).alias("fingerprint"), "component_id")
 
 
-def keep_near(docs: DataFrame, shingle: int = SHINGLE, radius: int = RADIUS) -> DataFrame:
-    """The documents that stay: of each component the one with the smallest id, with all columns.
-
-    Rows without an id have no group and stay. Rows that repeat the id that stays all stay (they are one document).
-    """
-    gone = simhash_groups(docs, shingle, radius).filter("doc_id <> component_id").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti")
-
-
 def op3_simhash(spark, sf_dir: str) -> DataFrame:
     return simhash_groups(table(spark, sf_dir, "documents"))

@@ -9,7 +9,8 @@ piece counts as its UTF-8 bytes, each at the probability of the last rank. Pre-t
 white space, each with the vocabulary's word mark in front; white space itself counts nothing. Of equal scores the fewest pieces win.
 
 Defined cases: null and empty texts count 0; null ids are carried; repeated rows are each counted; an empty table gives an empty result; extra columns are ignored.
-A worker's trie holds at most ``NODES`` nodes and one text's; it starts anew beyond.
+A worker's trie holds at most ``NODES`` nodes, checked at each pre-token, and starts anew beyond. Pre-tokens of more than ``LONGEST`` characters, of
+which hardly two share a prefix, run through the same recurrence over the last scores alone, as many as the longest piece has characters.
 """
 
 from __future__ import annotations
@@ -26,8 +27,10 @@ from rowkin.llm._common import small_batches, table
 
 MARK = "▁"
 NODES = 600_000
+#: Characters of a pre-token in the trie.
+LONGEST = 256
 #: Pre-tokens whose count a worker remembers at most.
-REMEMBERED = 300_000
+REMEMBERED = 500_000
 _WORDS = re.compile("[^\x20\x09-\x0d]+")
 
 
@@ -65,6 +68,7 @@ class Trie:
             if len(p) > 1 and len(p) not in self.sizes.get(p[-2:], ()):
                 self.sizes[p[-2:]] = (*self.sizes.get(p[-2:], ()), len(p))
         self.nodes = nodes
+        self.most = max([1, *map(len, pieces)])
         self.known = Known(lambda w: self.tokens(MARK + w))
         self.clear()
 
@@ -72,30 +76,38 @@ class Trie:
         self.child: dict[int, int] = {}
         self.best, self.count = [0.0], [0]
 
+    def last(self, word: str, depth: int, best: list[float], count: list[int], path) -> tuple[float, int]:
+        """Score and count of the prefix of ``depth`` characters; ``path[d]`` is the place in ``best`` and ``count`` of the prefix of d characters."""
+        c, up = word[depth - 1], path[depth - 1]
+        s = self.score.get(c)
+        if s is None:
+            pieces = len(c.encode("utf-8", "replace"))
+            top, pieces = best[up] + pieces * self.byte, count[up] + pieces
+        else:
+            top, pieces = best[up] + s, count[up] + 1
+        for k in self.sizes.get(word[depth - 2 : depth], ()) if depth > 1 else ():
+            if k > depth:
+                break
+            s = self.score.get(word[depth - k : depth])
+            if s is not None:
+                up = path[depth - k]
+                s += best[up]
+                if s > top or s == top and count[up] < pieces - 1:
+                    top, pieces = s, count[up] + 1
+        return top, pieces
+
     def tokens(self, word: str) -> int:
         """The number of pieces of the best segmentation of a pre-token."""
-        child, best, count, score = self.child, self.best, self.count, self.score
-        path, at, depth = [0], 0, 0
-        for c in word:
-            depth += 1
+        if len(word) > LONGEST:
+            return self.long(word)
+        if len(self.best) + len(word) > self.nodes:
+            self.clear()
+        child, best, count, path, at = self.child, self.best, self.count, [0], 0
+        for depth, c in enumerate(word, 1):
             key = at << 21 | ord(c)
             below = child.get(key)
             if below is None:
-                s = score.get(c)
-                if s is None:
-                    pieces = len(c.encode("utf-8", "replace"))
-                    top, pieces = best[at] + pieces * self.byte, count[at] + pieces
-                else:
-                    top, pieces = best[at] + s, count[at] + 1
-                for k in self.sizes.get(word[depth - 2 : depth], ()) if depth > 1 else ():
-                    if k > depth:
-                        break
-                    s = score.get(word[depth - k : depth])
-                    if s is not None:
-                        up = path[depth - k]
-                        s += best[up]
-                        if s > top or s == top and count[up] < pieces - 1:
-                            top, pieces = s, count[up] + 1
+                top, pieces = self.last(word, depth, best, count, path)
                 below = child[key] = len(best)
                 best.append(top)
                 count.append(pieces)
@@ -103,14 +115,30 @@ class Trie:
             at = below
         return count[at]
 
+    def long(self, word: str) -> int:
+        """The same without nodes: a ring of the last scores."""
+        size = self.most + 1
+        best, count, path = [0.0] * size, [0] * size, _Ring(size)
+        for depth in range(1, len(word) + 1):
+            best[depth % size], count[depth % size] = self.last(word, depth, best, count, path)
+        return count[len(word) % size]
+
     def counts(self, texts: list[str | None]) -> list[tuple[int, int]]:
         """(tokens, pre-tokens) of each text; pre-tokens that are not remembered are inserted, or found, in the trie."""
-        words = [_WORDS.findall(t) if t else [] for t in texts]
-        if len(self.best) > self.nodes:
-            self.clear()
+        words = (_WORDS.findall(t) if t else [] for t in texts)
         return [(sum(map(self.known.__getitem__, w)), len(w)) for w in words]
 
 
+class _Ring:
+    """Places of prefixes in a ring of scores."""
+
+    def __init__(self, size: int):
+        self.size = size
+
+    def __getitem__(self, depth: int) -> int:
+        return depth % self.size
+
+
 @functools.lru_cache(2)
 def shared(model_file: str) -> Trie:
     """One trie for each Python worker, kept over its tasks."""

@@ -1,10 +1,11 @@
 """Byte-level BPE by monoid tree reduction.
 
-The bytes of a pre-token are encoded as a tree: halves recursively, then joined. The join re-encodes a window around the boundary, the last ids of the
-left and the first of the right side, and doubles the window until it stands: the pairs of ids at its edges must each be stable, that is, encoding
-the two ids' bytes together gives the two ids again. An id sequence of which every neighbouring pair is stable, and every id is the encoding of its own
-bytes, is the encoding of the whole: merges are taken by rank and place, so the first merge to cross a boundary would also cross it in the
-encoding of that pair alone. Where a window has grown over both sides the join is plain encoding, so the result is exact in any case.
+The bytes of every pre-token that is no entry of the vocabulary are encoded as a tree: halved recursively down to leaves of ``LEAF`` bytes, then joined upwards. The join
+re-encodes a window around the boundary, at first the last id of the left and the first of the right side, and doubles the window until it stands: the pairs of ids at its
+edges must each be stable, that is, encoding the two ids' bytes together gives the two ids again. An id sequence of which every neighbouring pair is stable, and
+every id is the encoding of its own bytes, is the encoding of the whole: merges are taken by rank and place, so the first merge to cross a boundary would also cross it in the
+encoding of that pair alone. Where a window has grown over both sides the join is plain encoding, so the result is exact in any case. Leaves and windows are short and come
+again and again, so a worker remembers their encodings.
 
 A text is the concatenation of its pre-tokens' encodings, and decoding concatenates the ids' bytes up a tree of halves.
 
@@ -27,9 +28,9 @@ from rowkin.llm._common import small_batches, table
 from rowkin.llm.pretokens import pretokens
 
 #: Up to so many bytes are encoded directly, without halves.
-LEAF = 24
-#: Pre-tokens, and pairs of ids, that a worker remembers at most.
-REMEMBERED = 300_000
+LEAF = 4
+#: Pre-tokens, pairs of ids, and leaves and windows that a worker remembers at most, of each.
+REMEMBERED = 500_000
 
 
 class Known(dict):
@@ -52,9 +53,8 @@ class TreeBPE:
             self.ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, f)}
         self.bytes_of = {i: b for b, i in self.ranks.items()}
         self.leaf = leaf
-        self.longest = max(map(len, self.ranks))
-        self.reached = all(self.merge(b) == [i] for b, i in self.ranks.items() if 1 < len(b) <= leaf)
-        self._stable: dict[tuple[int, int], bool] = {}
+        self._pairs: dict[tuple[int, int], list[int]] = {}
+        self._short: dict[bytes, list[int]] = {}
         self.known = Known(self.encode_piece)
 
     def merge(self, data: bytes) -> list[int]:
@@ -100,58 +100,41 @@ class TreeBPE:
         return out
 
     def short(self, data: bytes) -> list[int]:
-        """A leaf's encoding: the ids, longest first, of which each is stable beside the one before; where the search takes long, by merges."""
-        out: list[int] = []
-        at, n, get = 0, len(data), self.ranks.get
-        most, left, ends = self.longest, 8 * n, []
-        size = min(n, most)
-        while at < n:
-            while size:
-                token = get(data[at : at + size])
-                if token is not None and (not out or self.stable(out[-1], token)):
-                    break
-                size -= 1
-            left -= 1
-            if left < 0:
-                return self.merge(data)
-            if size:
-                out.append(token)
-                ends.append(at)
-                at += size
-                size = min(n - at, most)
-            elif out:
-                out.pop()
-                before = at
-                at = ends.pop()
-                size = before - at - 1
-            else:
-                return self.merge(data)
-        return out
+        """The encoding of a leaf or window; remembered up to 16 bytes."""
+        found = self._short.get(data)
+        if found is None:
+            found = self.merge(data)
+            if len(data) <= 16 and len(self._short) < REMEMBERED:
+                self._short[data] = found
+        return found
 
-    def stable(self, a: int, b: int) -> bool:
-        """Whether the bytes of two ids, encoded together, are these two ids again."""
-        found = self._stable.get((a, b))
+    def pair(self, a: int, b: int) -> list[int]:
+        """The encoding of two ids' bytes together."""
+        found = self._pairs.get((a, b))
         if found is None:
-            if len(self._stable) >= REMEMBERED:
-                self._stable.clear()
-            found = self._stable[a, b] = self.merge(self.bytes_of[a] + self.bytes_of[b]) == [a, b]
+            found = self.merge(self.bytes_of[a] + self.bytes_of[b])
+            if len(self._pairs) < REMEMBERED:
+                self._pairs[a, b] = found
         return found
 
+    def stable(self, a: int, b: int) -> bool:
+        """Whether the bytes of two ids, encoded together, are these two ids again."""
+        return self.pair(a, b) == [a, b]
+
     def join(self, left: list[int], right: list[int]) -> list[int]:
         """The encoding of two encoded sides together."""
         if not left or not right:
             return left + right
-        size = 1
-        while True:
-            a, b = max(0, len(left) - size), min(len(right), size)
-            middle = self.merge(b"".join(map(self.bytes_of.__getitem__, left[a:] + right[:b])))
-            if (a == 0 or self.stable(left[a - 1], middle[0])) and (b == len(right) or self.stable(middle[-1], right[b])):
-                return left[:a] + middle + right[b:]
+        middle, a, b, size = self.pair(left[-1], right[0]), len(left) - 1, 1, 1
+        while not ((a == 0 or self.stable(left[a - 1], middle[0])) and (b == len(right) or self.stable(middle[-1], right[b]))):
             size *= 2
+            a, b = max(0, len(left) - size), min(len(right), size)
+            middle = self.short(b"".join(map(self.bytes_of.__getitem__, left[a:] + right[:b])))
+        return left[:a] + middle + right[b:]
 
     def encode_bytes(self, data: bytes) -> list[int]:
         if len(data) <= self.leaf:
-            return self.short(data) if self.reached else self.merge(data)
+            return self.short(data)
         half = len(data) // 2
         return self.join(self.encode_bytes(data[:half]), self.encode_bytes(data[half:]))
 

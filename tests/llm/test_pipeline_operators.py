@@ -154,8 +154,7 @@ def test_simhash_groups(sample, empty):
     for i, f in prints.items():
         assert got[i].fingerprint == f"{f:016x}"
         assert got[i].component_id == min(j for j, g in prints.items() if g in groups[f])
-    assert sorted(r.doc_id for r in simhash.keep_near(sample).collect()) == sorted({r.component_id for r in got.values()})
-    assert simhash.simhash_groups(empty).count() == simhash.keep_near(empty).count() == 0
+    assert simhash.simhash_groups(empty).count() == 0
 
 
 def test_language_id(sample, empty, spark):
