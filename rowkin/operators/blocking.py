@@ -2,8 +2,8 @@
 
 from __future__ import annotations
 
-import zlib
 from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 import numpy as np
 import pandas as pd
@@ -13,8 +13,10 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 TOP, MOST_RANK = 20, 127
-#: Rows of one tile's side: a task holds the queries of one tile and reads the entities of its block in tiles.
-TILE = 4096
+#: Rows of one tile's side; a task holds one tile of each side.
+TILE = 65_536
+#: Cells of similarities that a task computes at once.
+CELLS = 1 << 24
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -22,32 +24,84 @@ def dot(a: Column, b: Column) -> Column:
     return F.aggregate(F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, v: s + v)
 
 
-def hashed_ngrams(text: Column, size: int = 64, n: int = 3) -> Column:
-    """The default embedding: counts of character n-grams by hash, in unit length; a text of at most n characters is one n-gram, a null text empty."""
+def _buckets(texts: list[str], size: int, n: int) -> tuple[np.ndarray, np.ndarray]:
+    """Text and bucket of every character n-gram: its code points as digits to the base 31, modulo ``size``. A shorter text is one n-gram, an empty one none."""
+    lengths = np.array([len(t) for t in texts], np.int64)
+    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), "<u4").astype(np.int64)
+    padded = np.concatenate([codes, np.zeros(n, np.int64)])
+    owner = np.repeat(np.arange(len(texts)), lengths)
+    place = np.arange(codes.size) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+    left = lengths[owner] - place  # characters from here to the text's end
+    digits = sum(np.where(left > k, padded[k : k + codes.size], 0) * 31 ** (n - 1 - k) for k in range(n))
+    keep = (left >= n) | (place == 0)
+    return owner[keep], digits[keep] % size
 
-    @F.pandas_udf(T.ArrayType(T.DoubleType()))
-    def embed(texts: pd.Series) -> pd.Series:
-        place: dict[str, int] = {}
-        out = []
-        for t in texts.fillna(""):
-            counts = np.zeros(size)
-            for k in range(max(1, len(t) - n + 1)):
-                gram = t[k : k + n]
-                if gram not in place:
-                    place[gram] = zlib.crc32(gram.encode("utf-8", "replace")) % size
-                counts[place[gram]] += 1
-            out.append(counts / np.linalg.norm(counts))
-        return pd.Series(out)
 
-    return embed(text)
+@dataclass(frozen=True)
+class NgramEmbedder:
+    """The default embedder: counts of character n-grams by hash, weighted by the buckets' rarity once fitted, in unit length. A null or empty text is the zero vector."""
+
+    size: int = 64
+    n: int = 3
+    weights: tuple[float, ...] | None = None
+
+    def __call__(self, text: Column) -> Column:
+        size, n, weights = self.size, self.n, np.ones(self.size) if self.weights is None else np.array(self.weights)
+
+        @F.pandas_udf(T.ArrayType(T.DoubleType()))
+        def embed(texts: pd.Series) -> pd.Series:
+            owner, bucket = _buckets(texts.fillna("").tolist(), size, n)
+            counts = np.bincount(owner * size + bucket, minlength=len(texts) * size).reshape(-1, size) * weights
+            norms = np.sqrt((counts * counts).sum(axis=1, keepdims=True))
+            return pd.Series(list(counts / np.where(norms > 0, norms, 1)))
+
+        return embed(text)
+
+    def fit(self, texts: DataFrame) -> NgramEmbedder:
+        """The embedder with weights 1 + ln((1 + texts) / (1 + texts with the bucket)); ``texts``: one column, text. One small aggregation."""
+        counts = texts.select(F.posexplode(replace(self, weights=None)(F.col(texts.columns[0]))).alias("d", "v")).groupBy("d").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("v") > 0).alias("df")).collect()
+        found = {r["d"]: float(1 + np.log((1 + r["n"]) / (1 + r["df"]))) for r in counts}
+        return replace(self, weights=tuple(found.get(d, 1.0) for d in range(self.size)))
+
+
+def _matrix(column: pa.ChunkedArray) -> np.ndarray:
+    """Vectors of one length as rows."""
+    parts = [c.flatten().to_numpy(zero_copy_only=False) for c in column.chunks if len(c)]
+    return np.concatenate(parts).astype(np.float64, copy=False).reshape(len(column), -1)
+
+
+def _nearest(ours: np.ndarray, theirs: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """(row, column, similarity) of each row's k most similar columns, equal ones by place.
+
+    Single precision finds the candidates: all within twice its error of the k-th; their sums are then taken in double, element by element, so that equal vectors have equal sums
+    in any tile.
+    """
+    k = min(k, len(theirs))
+    norm = lambda m: float(np.sqrt((m * m).sum(axis=1)).max())
+    error = (ours.shape[1] + 2) * 2.0**-23 * norm(ours) * norm(theirs)
+    small, turned = ours.astype(np.float32), np.ascontiguousarray(theirs.astype(np.float32).T)
+    out, step = [], max(1, CELLS // len(theirs))
+    for at in range(0, len(ours), step):
+        near = small[at : at + step] @ turned
+        least = np.partition(near, len(theirs) - k, axis=1)[:, len(theirs) - k]
+        rows, columns = np.nonzero(near >= (least - np.float32(2 * error) - np.abs(least) * np.float32(1e-6))[:, None])
+        sims = np.zeros(rows.size)
+        for d in range(ours.shape[1]):
+            sims += ours[at + rows, d] * theirs[columns, d]
+        order = np.lexsort((columns, -sims, rows))
+        rows, columns, sims = rows[order], columns[order], sims[order]
+        rank = np.arange(rows.size) - np.searchsorted(rows, rows)
+        out.append((at + rows[rank < k], columns[rank < k], sims[rank < k]))
+    return tuple(np.concatenate(c) for c in zip(*out, strict=True))
 
 
 def scored_pairs(entities: DataFrame, records: DataFrame, k: int = TOP, tile: int = TILE) -> DataFrame:
     """(block, s, x, sim): each record's k most similar entities of its block, ties to the smaller s.
 
-    ``entities``: block, s, e; ``records``: block, x, e; e are unit vectors as double arrays. Blocks are cut in tiles of both sides by hash; a task multiplies one tile of
-    records with one tile of entities as matrices and keeps the top k of each record; the tops of all tiles then meet in a window that is limited to k before
-    its shuffle. So a block of any size is spread over tasks, and none holds more than two tiles. Records of blocks without entities are left out.
+    ``entities``: block, s, e; ``records``: block, x, e; e are vectors of one length as double arrays. Blocks are cut in tiles of both sides by hash; a task multiplies one tile of
+    records with one tile of entities and keeps the top k of each record; the tops of all tiles then meet in a window that is limited to k before
+    its shuffle. So a block of any size is spread over tasks, and none holds more than two tiles (32 MB each at 64 elements). A record is sent once for each 65,536 entities of
+    its block, an entity once for each 65,536 records. Records of blocks without entities are left out.
     """
     sizes = entities.groupBy("block").count().select("block", F.ceil(F.col("count") / tile).cast("int").alias("es"))
     of_records = records.groupBy("block").count().select("block", F.ceil(F.col("count") / tile).cast("int").alias("rs"))
@@ -61,26 +115,21 @@ def scored_pairs(entities: DataFrame, records: DataFrame, k: int = TOP, tile: in
         if not a.num_rows or not b.num_rows:
             return pa.table({"block": a["block"].slice(0, 0), "s": a["s"].slice(0, 0), "x": b["x"].slice(0, 0), "sim": pa.array([], pa.float64())})
         a = a.sort_by("s")
-        sims = np.zeros((b.num_rows, a.num_rows))
-        ours, theirs = (np.array(t[c].to_pylist(), np.float64) for t, c in ((b, "e_x"), (a, "e")))
-        for d in range(ours.shape[1]):  # element by element, so that equal vectors have equal sums in any tile
-            sims += np.multiply.outer(ours[:, d], theirs[:, d])
-        top = np.argsort(-sims, axis=1, kind="stable")[:, :k]
-        rows, columns = np.repeat(np.arange(b.num_rows), top.shape[1]), top.ravel()
-        return pa.Table.from_arrays([b["block_x"].take(rows), a["s"].take(columns), b["x"].take(rows), pa.array(sims[rows, columns])], names)
+        rows, columns, sims = _nearest(_matrix(b["e_x"]), _matrix(a["e"]), k)
+        return pa.Table.from_arrays([b["block_x"].take(rows), a["s"].take(columns), b["x"].take(rows), pa.array(sims)], names)
 
     found = left.groupBy("block", "i", "j").cogroup(right.groupBy("block_x", "i_x", "j_x")).applyInArrow(multiply, f"block {types['block']}, s {types['s']}, x {types['x']}, sim double")
     return found.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("sim"), "s"))).filter(F.col("r") <= k).drop("r")
 
 
 def joined_pairs(entities: DataFrame, records: DataFrame, k: int = TOP) -> DataFrame:
-    """The same by an equi-join on the block, for blocks of moderate size."""
+    """The same by an equi-join on the block: all pairs of a block as rows, to compare with in tests."""
     pairs = entities.select("block", "s", F.col("e").alias("es")).join(records.select("block", "x", F.col("e").alias("ex")), "block").select("block", "s", "x", dot("ex", "es").alias("sim"))
     return pairs.withColumn("r", F.row_number().over(Window.partitionBy("x").orderBy(F.desc("sim"), "s"))).filter(F.col("r") <= k).drop("r")
 
 
 def ranked(pairs: DataFrame) -> DataFrame:
-    """rx, the entity's rank for the record, and rs, the record's rank for the entity within the given pairs; both from 0, rs at most 126."""
+    """rx, the entity's rank for the record, and rs, the record's rank for the entity within the given pairs; both from 0, rs at most 126. The second sorts ids and similarities alone, by entity."""
     rx = F.row_number().over(Window.partitionBy("x").orderBy(F.desc("sim"), "s")) - 1
     rs = F.least(F.row_number().over(Window.partitionBy("s").orderBy(F.desc("sim"), "x")), F.lit(MOST_RANK)) - 1
     return pairs.withColumns({"rx": rx, "rs": rs})

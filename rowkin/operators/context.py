@@ -1,17 +1,30 @@
-"""Competition features: where a pair stands among the pairs of its record (x) and of its entity (s). Candidates bound every window."""
+"""Competition features: where a pair stands among the pairs of its record (x) and of its entity (s).
+
+A record has at most as many pairs as retrieval gives it (k), so windows by record are small. An entity's pairs have no such bound: every record may name it among its first. Sums,
+counts and maxima by entity are therefore aggregated before they are shuffled, and joined; only the rank by entity sorts an entity's pairs, by id and score alone.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-def _windows():
-    return Window.partitionBy("x"), Window.partitionBy("s")
+
+def _record():
+    return Window.partitionBy("x")
+
+
+def _by_entity(pairs: DataFrame, rank: dict[str, str], **values: Column) -> DataFrame:
+    """``pairs`` with aggregates by entity, and the rank by falling score of each named column."""
+    out = pairs.join(pairs.groupBy("s").agg(*(c.alias(n) for n, c in values.items())), "s")
+    for name, score in rank.items():
+        out = out.withColumn(name, F.row_number().over(Window.partitionBy("s").orderBy(F.desc(score), "x")))
+    return out
 
 
 def competition(pairs: DataFrame, p: str = "p") -> DataFrame:
     """13 columns around the score: p and its rank, maximum, sum and count by record and entity, high scores by entity, gaps and margin. Ties go to the smaller id."""
-    by_record, by_entity = _windows()
+    by_record = _record()
     by_x = pairs.withColumn("p", F.col(p).cast("double")).withColumns({
         "p_rank_x": F.row_number().over(by_record.orderBy(F.desc("p"), "s")),
         "p_max_x": F.max("p").over(by_record),
@@ -21,29 +34,29 @@ def competition(pairs: DataFrame, p: str = "p") -> DataFrame:
     by_x = by_x.withColumn("p2_x", F.max(F.when(F.col("p_rank_x") == 2, F.col("p")).otherwise(0.0)).over(by_record))
     first = F.col("p_rank_x") == 1
     by_x = by_x.withColumns({"gap_x": F.col("p") - F.col("p_max_x"), "other_x": F.col("p_sum_x") - F.col("p"), "margin_x": F.col("p") - F.when(first, F.col("p2_x")).otherwise(F.col("p_max_x"))}).drop("p2_x")
-    return by_x.withColumns({
-        "p_rank_s": F.row_number().over(by_entity.orderBy(F.desc("p"), "x")),
-        "p_max_s": F.max("p").over(by_entity),
-        "n_hi_s": F.count_if(F.col("p") > 0.5).over(by_entity),
-        "p_sum_s": F.sum("p").over(by_entity),
-        "n_s": F.count(F.lit(1)).over(by_entity),
-    })
+    return _by_entity(by_x, {"p_rank_s": "p"}, p_max_s=F.max("p"), n_hi_s=F.count_if(F.col("p") > 0.5), p_sum_s=F.sum("p"), n_s=F.count(F.lit(1)))
 
 
 def scorer_competition(pairs: DataFrame, e: str = "ce") -> DataFrame:
     """A second scorer's standing: {e}_rank_x, _max_x, _gap_x, _margin_x (runner-up -99 if there is none), _rank_s, _hi_s (scores over 0)."""
-    by_record, by_entity = _windows()
+    by_record = _record()
     found = pairs.withColumns({f"{e}_rank_x": F.row_number().over(by_record.orderBy(F.desc(e), "s")), f"{e}_max_x": F.max(e).over(by_record)})
     second = F.max(F.when(F.col(f"{e}_rank_x") == 2, F.col(e)).otherwise(-99.0)).over(by_record)
     found = found.withColumns({f"{e}_gap_x": F.col(e) - F.col(f"{e}_max_x"), "second": second})
     found = found.withColumn(f"{e}_margin_x", F.col(e) - F.when(F.col(f"{e}_rank_x") == 1, F.col("second")).otherwise(F.col(f"{e}_max_x"))).drop("second")
-    return found.withColumns({f"{e}_rank_s": F.row_number().over(by_entity.orderBy(F.desc(e), "x")), f"{e}_hi_s": F.count_if(F.col(e) > 0).over(by_entity)})
+    return _by_entity(found, {f"{e}_rank_s": e}, **{f"{e}_hi_s": F.count_if(F.col(e) > 0)})
 
 
 def extra_round(pairs: DataFrame, e: str) -> DataFrame:
     """A later scorer's three columns: {e}_rank_x, _gap_x, _hi_s."""
-    by_record, by_entity = _windows()
-    return pairs.withColumns({f"{e}_rank_x": F.row_number().over(by_record.orderBy(F.desc(e), "s")), f"{e}_gap_x": F.col(e) - F.max(e).over(by_record), f"{e}_hi_s": F.count_if(F.col(e) > 0).over(by_entity)})
+    by_record = _record()
+    found = pairs.withColumns({f"{e}_rank_x": F.row_number().over(by_record.orderBy(F.desc(e), "s")), f"{e}_gap_x": F.col(e) - F.max(e).over(by_record)})
+    return _by_entity(found, {}, **{f"{e}_hi_s": F.count_if(F.col(e) > 0)})
+
+
+def sibling_rank(pairs: DataFrame) -> DataFrame:
+    """sib_rank_x: the rank of sib_cos among the record's pairs; a pair without it comes last."""
+    return pairs.withColumn("sib_rank_x", F.row_number().over(_record().orderBy(F.desc_nulls_last("sib_cos"), "s")))
 
 
 def assembled(features: DataFrame, scores: DataFrame, scorers: dict[str, DataFrame], others: list[DataFrame], missing: float = -12.0) -> DataFrame:

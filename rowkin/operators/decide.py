@@ -29,25 +29,36 @@ def _convolved(qs: Column) -> Column:
     return F.aggregate(qs, F.array(F.lit(1.0)), grow)
 
 
+def _without(total: Column, q: Column) -> Column:
+    """The distribution without one of its chances, of which it was convolved; from the side where errors shrink."""
+    last = lambda done: F.coalesce(F.try_element_at(done, F.lit(-1)), F.lit(0.0))
+    n, none = F.size(total) - 1, F.array().cast("array<double>")
+    up = F.aggregate(F.slice(total, 1, n), none, lambda done, p: F.concat(done, F.array((p - q * last(done)) / (1 - q))))
+    down = F.aggregate(F.reverse(F.slice(total, 2, n)), none, lambda done, p: F.concat(done, F.array((p - (1 - q) * last(done)) / q)))
+    return F.when(q <= 0.5, up).otherwise(F.reverse(down))
+
+
 def expected_scores(best: DataFrame, q: str = "q", least: float = 0.02) -> DataFrame:
     """(s, qs, xs, e): each entity's candidates by falling score, and the exact expected F0.5 of keeping the first k of them, k from 0.
 
-    Candidates are true independently with chance q, so hits and misses among the kept and the rest are Poisson-binomial; F0.5 = 1.25 tp / (k + 0.25 t). Groups are an entity's
-    own candidates, which retrieval bounds.
+    Candidates are true independently with chance q; F0.5 = 1.25 tp / (k + 0.25 t). Each kept candidate contributes q times the mean of 1.25 / (k + 0.25 (1 + others)), where the
+    others' number has the distribution of all without this one. These distributions, weighted by q, are summed up from prefix to prefix, so the work grows with the square of
+    an entity's candidates.
     """
     some = best.filter(F.col(q) > least).groupBy("s").agg(F.array_sort(F.collect_list(F.struct((-F.col(q).cast("double")).alias("m"), "x"))).alias("l"))
     some = some.select("s", F.transform("l", lambda t: -t["m"]).alias("qs"), F.transform("l", lambda t: t["x"]).alias("xs"))
+    # kept apart from the step below, which reads it once for each candidate
+    some = some.withColumn("total", F.transform(F.array("qs"), _convolved)[0])
+    zeros, empty = F.transform("qs", lambda _: F.lit(0.0)), F.array().cast("array<double>")
 
-    def of_prefix(k: Column) -> Column:
-        kept, rest = _convolved(F.slice("qs", 1, k)), _convolved(F.slice("qs", k + 1, F.size("qs")))
-
-        def gain(p: Column, a: Column) -> Column:
-            return F.aggregate(F.transform(rest, lambda r, b: p * r * 1.25 * a / (k + 0.25 * (a + b))), F.lit(0.0), lambda s, v: s + v)
+    def step(state: Column, chance: Column) -> Column:
+        k = F.size(state["e"]) + 1
+        hits = F.zip_with(state["hits"], _without(F.col("total"), chance), lambda m, r: m + chance * r)
+        gain = lambda h: F.aggregate(F.transform(h, lambda m, t: 1.25 * m / (k + 0.25 * (t + 1))), F.lit(0.0), lambda s, v: s + v)
+        return F.transform(F.array(hits), lambda h: F.struct(h.alias("hits"), F.concat(state["e"], F.array(gain(h))).alias("e")))[0]
 
-        return F.aggregate(F.transform(kept, gain), F.lit(0.0), lambda s, v: s + v)
-
-    none = F.aggregate("qs", F.lit(1.0), lambda s, v: s * (1 - v))
-    return some.withColumn("e", F.concat(F.array(none), F.transform(F.sequence(F.lit(1), F.size("qs")), of_prefix)))
+    kept = F.aggregate("qs", F.struct(zeros.alias("hits"), empty.alias("e")), step, lambda state: state["e"])
+    return some.select("s", "qs", "xs", F.concat(F.slice("total", 1, 1), kept).alias("e"))
 
 
 def expected_f05(best: DataFrame, q: str = "q", least: float = 0.02) -> DataFrame:
@@ -62,13 +73,20 @@ def predictions(best: DataFrame, method: str, q: str = "q") -> DataFrame:
 
 
 def choose_method(best: DataFrame, truth: DataFrame, keys: DataFrame, methods: tuple[str, ...] = METHODS) -> DataFrame:
-    """(method, score, chosen): macro F0.5 of every method over the given entities; the greatest is chosen, of equal ones the first listed."""
-    from rowkin.operators.evaluate import macro_f05
+    """(method, score, chosen): macro F0.5 of every method over the given entities; the greatest is chosen, of equal ones the first listed.
 
-    each = None
-    for k, m in enumerate(methods):
-        one = macro_f05(predictions(best, m), truth, keys).select(F.lit(k).alias("k"), F.lit(m).alias("method"), F.col("f05").alias("score"))
-        each = one if each is None else each.unionByName(one)
+    Every pair is flagged with the methods that pick it, and all methods are counted in one aggregation by entity.
+    """
+    true = truth.select("s", "x").distinct()
+    rows = best.select("s", "x", "q").join(true.withColumn("hit", F.lit(1)), ["s", "x"], "left")
+    if "expF" in methods:
+        rows = rows.join(expected_f05(best).select("s", "x").withColumn("prefix", F.lit(True)), ["s", "x"], "left")
+    picks = [F.coalesce("prefix", F.lit(False)) if m == "expF" else F.col("q") > float(m.removeprefix("th")) for m in methods]
+    counts = rows.groupBy("s").agg(*(F.count_if(pick).alias(f"p{k}") for k, pick in enumerate(picks)), *(F.count_if(pick & (F.col("hit") == 1)).alias(f"t{k}") for k, pick in enumerate(picks)))
+    every = keys.select("s").join(counts, "s", "left").join(true.groupBy("s").agg(F.count(F.lit(1)).alias("nt")), "s", "left").fillna(0)
+    f05 = lambda k: F.when((F.col(f"p{k}") == 0) & (F.col("nt") == 0), 1.0).when(F.col(f"t{k}") == 0, 0.0).otherwise(1.25 * F.col(f"t{k}") / (F.col(f"p{k}") + 0.25 * F.col("nt")))
+    means = every.agg(*(F.avg(f05(k)).alias(f"m{k}") for k in range(len(methods))))
+    each = means.select(F.explode(F.array(*(F.struct(F.lit(k).alias("k"), F.lit(m).alias("method"), F.col(f"m{k}").alias("score")) for k, m in enumerate(methods)))).alias("e")).select("e.*")
     first = F.row_number().over(Window.orderBy(F.desc(F.round("score", 12)), "k")) == 1  # as many rows as methods
     return each.withColumn("chosen", first).drop("k")
 

@@ -9,6 +9,7 @@ from rowkin.functions.strings import similarities
 from rowkin.operators import tokens
 from rowkin.operators.normalize import ADDRESS_STOP
 
+# Names and order of the models' columns, down to STAGE2.
 #: Feature: (scorer, field).
 SCORES = {
     "n_ratio": ("ratio", "nn"), "n_tset": ("token_set_ratio", "nn"), "n_tsort": ("token_sort_ratio", "nn"), "n_part": ("partial_ratio", "nn"), "n_jw": ("jaro_winkler", "nn"),
@@ -43,7 +44,7 @@ def string_scores(both: DataFrame, wanted: dict[str, tuple[str, str]] = SCORES)
     """All string scores of gathered pairs, in one Python pass. Pairs are dealt evenly first: scoring one takes far longer than moving it."""
     both = both.repartition("s", "x")
     found = similarities({n: (scorer, F.col(f"s_{c}"), F.col(f"x_{c}")) for n, (scorer, c) in wanted.items()})
-    return both.withColumn("scores", found).select(*(c for c in both.columns), "scores.*")
+    return both.withColumn("scores", found).select(*both.columns, "scores.*")
 
 
 def number_scores(a: Column, b: Column) -> dict[str, Column]:
@@ -77,15 +78,15 @@ def metadata(records: DataFrame) -> DataFrame:
 def pair_features(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     """``pairs`` (s, x, sim, rx, rs) with all stage-1 columns; ``left`` and ``right`` are normalised records.
 
-    Record texts are joined once for all string, number and metadata features; the token weights, which need corpus counts over both sides, once for each field.
+    Everything that belongs to a record, its token weights included, is put in one row first, so that pairs are joined once by each side.
     """
     fields = sorted({c for _, c in SCORES.values()} | {"nums", "nonlatin", "addr_empty", "is_domain", "src", "ln", "la", "nw"})
-    out = string_scores(gathered(pairs, metadata(left), metadata(right), fields))
+    every = metadata(left.unionByName(right))
+    every = every.join(tokens.all_weights(every, OVERLAPS), "entity_id", "left").select("entity_id", *fields, *OVERLAPS)
+    out = string_scores(gathered(pairs, every, every, [*fields, *OVERLAPS]))
     out = out.withColumns({**number_scores(F.col("s_nums"), F.col("x_nums")), **first_number_flags(F.col("s_an"), F.col("x_an"))})
-    out = out.select(*pairs.columns, *SCORES, *NUMBERS, *(F.col(c).cast("int").alias(c) for c in METADATA))
-    every = left.unionByName(right)
-    for name, (field, stop) in OVERLAPS.items():
-        out = tokens.overlap(out, tokens.weights(every, field, stop), name)
+    for name in OVERLAPS:
+        out = tokens.overlapped(out, f"s_{name}", f"x_{name}", name)
     return out.select("s", "x", *(F.col(c).cast("double").alias(c) for c in STAGE1))
 
 

@@ -28,16 +28,35 @@ def weights(records: DataFrame, text: str, stop: list[str] | tuple = (), key: st
     return each.groupBy(key).agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("t", "idf")))).alias("w"))
 
 
+def all_weights(records: DataFrame, fields: dict[str, tuple[str, tuple]], key: str = "entity_id", group: str = "country") -> DataFrame:
+    """(key, a map for each name in ``fields``): ``weights`` of several fields, {name: (field, stop words)}, by one explosion and one table of rarities; every row is there."""
+    words = lambda text, stop: F.filter(F.array_distinct(tokens(F.col(text))), lambda t: ~t.isin(list(stop))) if stop else F.array_distinct(tokens(F.col(text)))
+    named = lambda name: F.transform(name, lambda t: F.struct(F.lit(name).alias("f"), t.alias("t")))
+    rows = records.select(key, group, *(words(text, stop).alias(name) for name, (text, stop) in fields.items()))
+    each = rows.select(key, group, F.explode(F.concat(*map(named, fields))).alias("z")).select(key, group, "z.f", "z.t")
+    df = each.groupBy(group, "f", "t").agg(F.count(F.lit(1)).alias("df"))
+    n = rows.groupBy(group).agg(F.map_from_arrays(F.array(*map(F.lit, fields)), F.array(*(F.count_if(F.size(name) > 0) for name in fields))).alias("n"))
+    idf = df.join(n, group).select(group, "f", "t", F.log(F.element_at("n", F.col("f")) / F.col("df")).alias("idf"))
+    found = each.join(idf, [group, "f", "t"]).groupBy(key).agg(F.array_sort(F.collect_list(F.struct("f", "t", "idf"))).alias("l"))
+    of_field = lambda name: F.map_from_entries(F.transform(F.filter("l", lambda z: z["f"] == name), lambda z: F.struct(z["t"], z["idf"])))
+    return found.select(key, *(of_field(name).alias(name) for name in fields))
+
+
 def overlap(pairs: DataFrame, of_row: DataFrame, name: str, key: str = "entity_id") -> DataFrame:
     """``pairs`` (s, x) with ``name``_jac, _cont, _max and _sum: weighted overlap of both sides' tokens; 0 where a side has no weight."""
     sides = pairs.join(of_row.select(F.col(key).alias("s"), F.col("w").alias("ws")), "s", "left").join(of_row.select(F.col(key).alias("x"), F.col("w").alias("wx")), "x", "left")
+    return overlapped(sides, "ws", "wx", name).drop("ws", "wx")
+
+
+def overlapped(sides: DataFrame, ws: str, wx: str, name: str) -> DataFrame:
+    """The same from both sides' weights in two columns."""
     total = lambda m: F.aggregate(F.coalesce(F.map_values(m), F.array().cast("array<double>")), F.lit(0.0), lambda a, v: a + v)
-    common = F.coalesce(F.array_intersect(F.map_keys("ws"), F.map_keys("wx")), F.array().cast("array<string>"))
-    sides = sides.withColumns({"c": F.transform(common, lambda t: F.try_element_at("ws", t)), "a": total("ws"), "b": total("wx")})
+    common = F.coalesce(F.array_intersect(F.map_keys(ws), F.map_keys(wx)), F.array().cast("array<string>"))
+    sides = sides.withColumns({"c": F.transform(common, lambda t: F.try_element_at(ws, t)), "a": total(ws), "b": total(wx)})
     sides = sides.withColumns({"i": F.aggregate("c", F.lit(0.0), lambda a, v: a + v), "m": F.coalesce(F.array_max("c"), F.lit(0.0))})
     union, least = F.col("a") + F.col("b") - F.col("i"), F.least("a", "b")
     share = lambda of: F.when(of > 0, F.col("i") / of).otherwise(F.lit(0.0))
-    return sides.withColumns({f"{name}_jac": share(union), f"{name}_cont": share(least), f"{name}_max": F.col("m"), f"{name}_sum": F.col("i")}).drop("ws", "wx", "c", "a", "b", "i", "m")
+    return sides.withColumns({f"{name}_jac": share(union), f"{name}_cont": share(least), f"{name}_max": F.col("m"), f"{name}_sum": F.col("i")}).drop("c", "a", "b", "i", "m")
 
 
 def generic_tokens(primary: DataFrame, text: str = "nn", least: float = 0.002, key: str = "entity_id", group: str = "country") -> DataFrame:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -45,15 +47,69 @@ def id_lists(pairs: DataFrame, primary: DataFrame, column: str = "matched_entity
     return primary.select(F.col("entity_id").alias("s")).join(lists, "s", "left").select(F.col("s").alias("source1_entity_id"), F.coalesce(column, F.lit("")).alias(column))
 
 
+def write_lists(lists: DataFrame, path: str) -> None:
+    """One tab-separated file of a header and the rows by entity, whatever their number: sorted and written in parts, the parts then joined in order by the file system."""
+    spark = lists.sparkSession
+    parts, (key, value) = f"{path}.parts", lists.columns
+    # empty lists stay empty fields, and nothing is quoted
+    lists.sort(key).select(F.concat_ws("\t", F.col(key), F.coalesce(value, F.lit("")))).write.mode("overwrite").text(parts)
+    hadoop = spark._jvm.org.apache.hadoop.fs
+    target, source = hadoop.Path(path), hadoop.Path(parts)
+    files = target.getFileSystem(spark._jsc.hadoopConfiguration())
+    out = files.create(target, True)
+    try:
+        out.write(f"{key}\t{value}\n".encode())
+        for part in sorted((f.getPath() for f in files.listStatus(source) if f.getPath().getName().startswith("part-")), key=lambda p: p.getName()):
+            piece = files.open(part)
+            spark._jvm.org.apache.hadoop.io.IOUtils.copyBytes(piece, out, 1 << 20, False)
+            piece.close()
+    finally:
+        out.close()
+    files.delete(source, True)
+
+
+def _files(spark: SparkSession, path: str):
+    place = spark._jvm.org.apache.hadoop.fs.Path(path)
+    return place, place.getFileSystem(spark._jsc.hadoopConfiguration())
+
+
 def done(spark: SparkSession, path: str) -> bool:
     """Whether a stage's output is complete, by the marker that Spark leaves, in any file system."""
-    marker = spark._jvm.org.apache.hadoop.fs.Path(f"{path}/_SUCCESS")
-    return marker.getFileSystem(spark._jsc.hadoopConfiguration()).exists(marker)
+    marker, files = _files(spark, f"{path}/_SUCCESS")
+    return files.exists(marker)
+
+
+def write_text(spark: SparkSession, path: str, text: str) -> None:
+    """A small file, in any file system."""
+    place, files = _files(spark, path)
+    out = files.create(place, True)
+    out.write(text.encode())
+    out.close()
+
+
+def read_text(spark: SparkSession, path: str) -> str | None:
+    place, files = _files(spark, path)
+    if not files.exists(place):
+        return None
+    return "\n".join(r[0] for r in spark.read.text(path, wholetext=True).collect())
+
+
+def fingerprint(*parts) -> str:
+    """A digest of values, and of the content of tables: their columns, number of rows and sum of row hashes."""
+    seen = []
+    for p in parts:
+        if isinstance(p, DataFrame):
+            size, total = p.agg(F.count(F.lit(1)), F.sum(F.xxhash64(*p.columns).cast("decimal(20,0)"))).first()
+            p = (p.dtypes, size, str(total))
+        seen.append(repr(p))
+    return hashlib.sha256("\n".join(seen).encode()).hexdigest()
 
 
-def materialised(df: DataFrame, path: str) -> DataFrame:
-    """``df`` written once and read again; a complete output of an earlier run is used as it is."""
+def materialised(df: DataFrame, path: str, key: str = "") -> DataFrame:
+    """``df`` written once and read again. A complete output of an earlier run is used as it is if it was written under the same key, the fingerprint of what it depends on."""
     spark = df.sparkSession
-    if not done(spark, path):
+    mark = f"{path}.key"
+    if not (done(spark, path) and read_text(spark, mark) == key):
         df.write.mode("overwrite").parquet(path)
+        write_text(spark, mark, key)
     return spark.read.parquet(path)

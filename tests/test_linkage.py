@@ -1,6 +1,9 @@
 """Linkage queries against their SQL, invariants of the operators, and the whole pipeline."""
 
 import os
+import subprocess
+import sys
+from dataclasses import replace
 
 import duckdb
 import pytest
@@ -118,10 +121,19 @@ def test_tsv_keeps_quotes_and_empties(spark, tmp_path):
     assert sorted(map(tuple, tables.read_tsv(spark, str(tmp_path / "b")).collect())) == sorted(map(tuple, got.collect()))
 
 
-def test_materialised_is_not_repeated(spark, tmp_path):
+def test_materialised_is_repeated_for_other_inputs(spark, tmp_path):
     path = str(tmp_path / "m")
     assert not tables.done(spark, path)
-    assert tables.materialised(spark.range(3), path).count() == 3 and tables.materialised(spark.range(9), path).count() == 3
+    assert tables.materialised(spark.range(3), path, "a").count() == 3 and tables.materialised(spark.range(9), path, "a").count() == 3
+    assert tables.materialised(spark.range(9), path, "b").count() == 9
+    assert tables.fingerprint(spark.range(3), 1) == tables.fingerprint(spark.range(3).repartition(2), 1) != tables.fingerprint(spark.range(4), 1)
+
+
+def test_lists_in_one_file(spark, tmp_path):
+    lists = spark.createDataFrame([("S1-2", "", 1), ("S1-1", "S2-1,S3-4", 2), ("S1-3", None, 3)], "source1_entity_id string, matched_entity_ids string, k int").drop("k").repartition(3)
+    tables.write_lists(lists, str(tmp_path / "out.tsv"))
+    assert (tmp_path / "out.tsv").read_text() == "source1_entity_id\tmatched_entity_ids\nS1-1\tS2-1,S3-4\nS1-2\t\nS1-3\t\n"
+    assert tables.read_tsv(spark, str(tmp_path / "out.tsv"), tables.TRUTH).count() == 3
 
 
 def test_extra_round_and_missing_scores(spark):
@@ -147,29 +159,66 @@ def test_stream(spark, tmp_path):
     assert spark.read.parquet(str(tmp_path / "out")).count() == r.primary.count()
 
 
-def test_whole_pipeline(spark, tmp_path):
+@pytest.fixture(scope="module")
+def rounds(spark, tmp_path_factory):
+    """The loop over all versions on a tenth of the records, with few trees."""
     r = Records(spark, SF)
     columns = tables.RECORD.names
     primary, secondary = r.primary.select(*columns), r.secondary.select(*columns)
-    config = pipeline.Config(str(tmp_path), top=8, trees={"maxIter": 5, "maxDepth": 4, "minInstancesPerNode": 5}, trees2={"maxIter": 8})
-    trained = pipeline.train(primary, secondary, r.lists, config)
-    assert trained.method in decide.METHODS and len(trained.stage1.importances(5)) == 5
-    scores = pipeline.score(primary, secondary, trained, config)
+    config = pipeline.Config(str(tmp_path_factory.mktemp("work")), top=8, trees={"maxIter": 3, "maxDepth": 3, "minInstancesPerNode": 5}, hot="France")
+    base = primary, secondary, r.lists
+    trained, scores = pipeline.rounds(base, (primary, secondary), config)
+    return base, config, trained, scores
+
+
+def test_every_version(spark, rounds):
+    (primary, secondary, lists), config, trained, scores = rounds
+    assert trained.version == "v6" and list(trained.scorers) == ["ce", "ce2", "ce3", "ce4"] and trained.scorers["ce4"].start is trained.scorers["ce3"]
+    assert trained.method in decide.METHODS and len(trained.stage1.importances(5)) == 5 and trained.stage2.columns == list(features.STAGE2["v6"])
+    for df in (trained.report, trained.validation):
+        assert df.count() == len(decide.METHODS) and df.filter("score >= 0 AND score <= 1").count() == len(decide.METHODS)
+    full = spark.read.parquet(f"{config.work}/train_v6_full")
+    assert set(features.STAGE2["v6"]) <= set(full.columns) and full.filter("sib_rank_x = 1").count() == full.select("x").distinct().count()
     matches, candidates = pipeline.results(scores, primary, trained.method)
     n = primary.count()
     assert matches.count() == candidates.count() == n
     found, possible = ({(q.s, q.x) for q in tables.truth_pairs(df.toDF("source1_entity_id", "matched_entity_ids")).collect()} for df in (matches, candidates))
     assert found <= possible and len({x for _, x in found}) == len(found)
-    truth = {(q.s, q.x) for q in tables.truth_pairs(r.lists).collect()}
+    truth = {(q.s, q.x) for q in tables.truth_pairs(lists).collect()}
     assert len(found & truth) > 0.5 * len(truth) and len(found & truth) > 0.7 * len(found)
     again, report = pipeline.decide_again(scores, primary, {"US": 0.5})
     assert again.count() == n and {q.country for q in report.collect()} == {"US", "India", "France"}
-    again = pipeline.pseudo_labelled(scores, "France", primary, secondary, models_base(spark))
-    assert again.model is not None
 
 
-def models_base(spark):
-    return spark.createDataFrame([("a b", "a b", 1.0), ("a b", "x y", 0.0)], "text_s string, text_x string, y double")
+def test_first_version_and_missing_scorers(rounds):
+    base, config, trained, _ = rounds
+    with pytest.raises(ValueError, match="ce2"):
+        pipeline.train(*base, replace(config, version="v3"))
+    first = pipeline.train(*base, replace(config, version="v1"), trained)
+    assert first.scorers == {} and first.stage2.columns == list(features.STAGE2["v1"]) and first.stage1 is trained.stage1
+
+
+def test_saved_model_scores_alike_in_another_process(rounds, tmp_path):
+    (primary, secondary, _), config, trained, scores = rounds
+    trained.save(str(tmp_path / "model"))
+    primary.write.parquet(str(tmp_path / "s1"))
+    secondary.write.parquet(str(tmp_path / "s23"))
+    scores.write.parquet(str(tmp_path / "scores"))
+    code = f"""
+from pyspark.sql import SparkSession
+from rowkin.plans import pipeline
+spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
+read = lambda n: spark.read.parquet(f"{tmp_path}/{{n}}")
+trained = pipeline.Trained.load("{tmp_path}/model")
+assert trained.method == "{trained.method}" and trained.report.count() == 7
+got = pipeline.score(read("s1"), read("s23"), trained, pipeline.Config("{tmp_path}/work", top={config.top}))
+both = got.join(read("scores").withColumnRenamed("q", "q2"), ["s", "x"])
+assert both.count() == got.count() == read("scores").count() and both.filter("abs(q - q2) > 1e-9").count() == 0
+print("alike")
+"""
+    env = os.environ | {"PYTHONPATH": os.pathsep.join([os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")])}
+    done = subprocess.run([sys.executable, "-c", code], capture_output=True, text=True, env=env, timeout=600)
+    assert "alike" in done.stdout, done.stderr[-3000:]
 
 
 def test_out_of_fold(spark):
