@@ -20,7 +20,7 @@ _SIGNS = dict(zip(range(0x3E, 0x4D), ("A", "i", "I", "u", "U", "RRi", "RRI", "e"
 _MARKS = {0x01: ".N", 0x02: "M", 0x03: "H", 0x3D: ".a", 0x70: "M"}
 _VIRAMA = 0x4D
 #: Replacements towards English spelling, in order.
-_SQUASH = (("aa", "a"), ("ii", "i"), ("uu", "u"), ("~n", "n"), ("sh", "s"), ("ph", "f"), ("chh", "ch"), (".", ""), ("^", ""))
+_SQUASH = (("aa", "a"), ("ii", "i"), ("uu", "u"), ("~n", "n"), ("sh", "s"), ("ph", "f"), ("chh", "ch"), ("^", ""))
 
 
 def _word(word: str) -> str:

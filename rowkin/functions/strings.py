@@ -32,13 +32,22 @@ def _common(where: dict[str, int], n: int, b: str) -> int:
 
 
 def lcs(a: str, b: str) -> int:
-    """Length of the longest common subsequence."""
-    return _common(_places(a), len(a), b) if a and b else 0
+    """Length of the longest common subsequence. What both begin or end with is in it as it is."""
+    least, start = min(len(a), len(b)), 0
+    while start < least and a[start] == b[start]:
+        start += 1
+    end = 0
+    while end < least - start and a[-1 - end] == b[-1 - end]:
+        end += 1
+    a, b = a[start : len(a) - end], b[start : len(b) - end]
+    return start + end + (_common(_places(a), len(a), b) if a and b else 0)
 
 
 def ratio(a: str, b: str) -> float:
+    if a == b:
+        return 100.0
     total = len(a) + len(b)
-    return 200.0 * lcs(a, b) / total if total else 100.0
+    return 200.0 * lcs(a, b) / total
 
 
 def token_sort_ratio(a: str, b: str) -> float:
@@ -61,8 +70,10 @@ def token_set_ratio(a: str, b: str) -> float:
 
 def partial_ratio(a: str, b: str) -> float:
     """Best ratio of the shorter string against the windows of its length in the longer one, cut windows at both ends included."""
+    if a == b:
+        return 100.0
     if not a or not b:
-        return 100.0 if a == b else 0.0
+        return 0.0
     if len(a) == len(b):
         return max(_windows(a, b), _windows(b, a))
     return _windows(*sorted((a, b), key=len))
@@ -97,7 +108,7 @@ def _windows(short: str, long: str) -> float:
 
 def jaro_winkler(a: str, b: str, scale: float = 0.1) -> float:
     """Jaro similarity, raised by the common prefix (up to 4) where it is above 0.7."""
-    if not a and not b:
+    if a == b:
         return 1.0
     if not a or not b:
         return 0.0

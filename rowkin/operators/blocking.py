@@ -145,6 +145,15 @@ def prune(candidates: DataFrame, kx: int = 3, ks: int = 10) -> DataFrame:
     return candidates.filter((F.col("rx") < kx) | (F.col("rs") < ks))
 
 
+def numbered(rows: DataFrame, *order: str) -> DataFrame:
+    """``rows`` with a dense ``place`` from 0 in the given order: rows are sorted by ranges, numbered within each, and the sizes of the ranges before added, so no task sees all rows."""
+    parts = rows.sort(*order).withColumn("part", F.spark_partition_id()).persist()
+    within = parts.withColumn("place", F.row_number().over(Window.partitionBy("part").orderBy(*order)) - 1)
+    sizes = parts.groupBy("part").agg(F.count(F.lit(1)).alias("n"))
+    before = sizes.withColumn("first", F.sum("n").over(Window.orderBy("part")) - F.col("n")).drop("n")  # as many rows as ranges
+    return within.join(before, "part").withColumn("place", F.col("place") + F.col("first")).drop("part", "first")
+
+
 def debug_candidates(truth: DataFrame, entities: DataFrame, n: int = 200_000, negatives: int = 3) -> DataFrame:
     """(s, x, sim, rx, rs): n true pairs by hash, and for each record ``negatives`` entities by hash, distinct, with constant similarity.
 

@@ -22,8 +22,7 @@ def _by_entity(pairs: DataFrame, rank: dict[str, str], **values: Column) -> Data
     return out
 
 
-def competition(pairs: DataFrame, p: str = "p") -> DataFrame:
-    """13 columns around the score: p and its rank, maximum, sum and count by record and entity, high scores by entity, gaps and margin. Ties go to the smaller id."""
+def _competition_x(pairs: DataFrame, p: str) -> DataFrame:
     by_record = _record()
     by_x = pairs.withColumn("p", F.col(p).cast("double")).withColumns({
         "p_rank_x": F.row_number().over(by_record.orderBy(F.desc("p"), "s")),
@@ -33,25 +32,53 @@ def competition(pairs: DataFrame, p: str = "p") -> DataFrame:
     })
     by_x = by_x.withColumn("p2_x", F.max(F.when(F.col("p_rank_x") == 2, F.col("p")).otherwise(0.0)).over(by_record))
     first = F.col("p_rank_x") == 1
-    by_x = by_x.withColumns({"gap_x": F.col("p") - F.col("p_max_x"), "other_x": F.col("p_sum_x") - F.col("p"), "margin_x": F.col("p") - F.when(first, F.col("p2_x")).otherwise(F.col("p_max_x"))}).drop("p2_x")
-    return _by_entity(by_x, {"p_rank_s": "p"}, p_max_s=F.max("p"), n_hi_s=F.count_if(F.col("p") > 0.5), p_sum_s=F.sum("p"), n_s=F.count(F.lit(1)))
+    return by_x.withColumns({"gap_x": F.col("p") - F.col("p_max_x"), "other_x": F.col("p_sum_x") - F.col("p"), "margin_x": F.col("p") - F.when(first, F.col("p2_x")).otherwise(F.col("p_max_x"))}).drop("p2_x")
 
 
-def scorer_competition(pairs: DataFrame, e: str = "ce") -> DataFrame:
-    """A second scorer's standing: {e}_rank_x, _max_x, _gap_x, _margin_x (runner-up -99 if there is none), _rank_s, _hi_s (scores over 0)."""
+def _competition_s() -> dict[str, Column]:
+    return {"p_max_s": F.max("p"), "n_hi_s": F.count_if(F.col("p") > 0.5), "p_sum_s": F.sum("p"), "n_s": F.count(F.lit(1))}
+
+
+def _scorer_x(pairs: DataFrame, e: str) -> DataFrame:
     by_record = _record()
     found = pairs.withColumns({f"{e}_rank_x": F.row_number().over(by_record.orderBy(F.desc(e), "s")), f"{e}_max_x": F.max(e).over(by_record)})
     second = F.max(F.when(F.col(f"{e}_rank_x") == 2, F.col(e)).otherwise(-99.0)).over(by_record)
     found = found.withColumns({f"{e}_gap_x": F.col(e) - F.col(f"{e}_max_x"), "second": second})
-    found = found.withColumn(f"{e}_margin_x", F.col(e) - F.when(F.col(f"{e}_rank_x") == 1, F.col("second")).otherwise(F.col(f"{e}_max_x"))).drop("second")
-    return _by_entity(found, {f"{e}_rank_s": e}, **{f"{e}_hi_s": F.count_if(F.col(e) > 0)})
+    return found.withColumn(f"{e}_margin_x", F.col(e) - F.when(F.col(f"{e}_rank_x") == 1, F.col("second")).otherwise(F.col(f"{e}_max_x"))).drop("second")
+
+
+def _extra_x(pairs: DataFrame, e: str) -> DataFrame:
+    by_record = _record()
+    return pairs.withColumns({f"{e}_rank_x": F.row_number().over(by_record.orderBy(F.desc(e), "s")), f"{e}_gap_x": F.col(e) - F.max(e).over(by_record)})
+
+
+def _high(e: str) -> dict[str, Column]:
+    return {f"{e}_hi_s": F.count_if(F.col(e) > 0)}
+
+
+def competition(pairs: DataFrame, p: str = "p") -> DataFrame:
+    """13 columns around the score: p and its rank, maximum, sum and count by record and entity, high scores by entity, gaps and margin. Ties go to the smaller id."""
+    return _by_entity(_competition_x(pairs, p), {"p_rank_s": "p"}, **_competition_s())
+
+
+def scorer_competition(pairs: DataFrame, e: str = "ce") -> DataFrame:
+    """A second scorer's standing: {e}_rank_x, _max_x, _gap_x, _margin_x (runner-up -99 if there is none), _rank_s, _hi_s (scores over 0)."""
+    return _by_entity(_scorer_x(pairs, e), {f"{e}_rank_s": e}, **_high(e))
 
 
 def extra_round(pairs: DataFrame, e: str) -> DataFrame:
     """A later scorer's three columns: {e}_rank_x, _gap_x, _hi_s."""
-    by_record = _record()
-    found = pairs.withColumns({f"{e}_rank_x": F.row_number().over(by_record.orderBy(F.desc(e), "s")), f"{e}_gap_x": F.col(e) - F.max(e).over(by_record)})
-    return _by_entity(found, {}, **{f"{e}_hi_s": F.count_if(F.col(e) > 0)})
+    return _by_entity(_extra_x(pairs, e), {}, **_high(e))
+
+
+def all_rounds(pairs: DataFrame, p: str, scorers: tuple[str, ...]) -> DataFrame:
+    """``competition``, ``scorer_competition`` of the first scorer and ``extra_round`` of the others together, with one aggregation by entity."""
+    out, ranks, values = _competition_x(pairs, p), {"p_rank_s": "p"}, _competition_s()
+    for k, e in enumerate(scorers):
+        out, values = (_extra_x if k else _scorer_x)(out, e), values | _high(e)
+        if not k:
+            ranks[f"{e}_rank_s"] = e
+    return _by_entity(out, ranks, **values)
 
 
 def sibling_rank(pairs: DataFrame) -> DataFrame:

@@ -54,11 +54,10 @@ def without(text: Column, words: list[str]) -> Column:
 
 
 def with_phrases(text: Column, table: dict[str, str]) -> Column:
-    """Whole-word replacement of phrases, one after the other. Spaces are doubled meanwhile, so that neighbours are both met."""
-    out = F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" "))
-    for phrase, to in table.items():
-        out = F.replace(out, F.lit(f" {phrase.replace(' ', '  ')} "), F.lit(f" {to} "))
-    return F.trim(F.regexp_replace(out, " +", " "))
+    """Whole-word replacement of phrases, one after the other, as one expression over a constant list. Spaces are doubled meanwhile, so that neighbours are both met."""
+    padded = F.concat(F.lit(" "), F.replace(text, F.lit(" "), F.lit("  ")), F.lit(" "))
+    phrases = F.array(*(F.array(F.lit(f" {phrase.replace(' ', '  ')} "), F.lit(f" {to} ")) for phrase, to in table.items()))
+    return F.trim(F.regexp_replace(F.aggregate(phrases, padded, lambda out, p: F.replace(out, p[0], p[1])), " +", " "))
 
 
 def with_words(text: Column, table: dict[str, str]) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from rowkin.functions.scripts import INDIC
 from rowkin.operators.normalize import loose_clean, name_key
 
+# The forms that are counted.
 NAME_FORMS = {
     "domain": r"(?i)\.(com|in|net|org|co)(?![\p{L}\p{N}_])",
     "dba": r"(?i)doing business as|(?<![\p{L}\p{N}_])dba(?![\p{L}\p{N}_])|t/a|trading as",

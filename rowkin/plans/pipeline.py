@@ -118,20 +118,18 @@ def texts(pairs: DataFrame, left: DataFrame, right: DataFrame) -> DataFrame:
     return pairs.join(left.select(F.col("entity_id").alias("s"), text.alias("text_s")), "s").join(right.select(F.col("entity_id").alias("x"), text.alias("text_x")), "x")
 
 
-def stage2_columns(feat: DataFrame, scored: DataFrame, logits: dict[str, DataFrame], version: str = "v2", split: Split | None = None, generic_share: float = 0.002) -> DataFrame:
+def stage2_columns(feat: DataFrame, scored: DataFrame, logits: dict[str, DataFrame], version: str = "v2", split: Split | None = None, generic_share: float = 0.002, generic: bool = True) -> DataFrame:
     """Kept pair columns with all that a version's second model reads: the competition around the scores, sibling consensus and the generic-word features.
 
-    ``scored``: s, x, p1 and what is to be kept beside; ``logits``: a frame (s, x, name) for each scorer of the version. From v3 on ``split`` gives the embeddings, from v5 on the records.
+    ``scored``: s, x, p1 and what is to be kept beside; ``logits``: a frame (s, x, name) for each scorer of the version. From v3 on ``split`` gives the embeddings, from v5 on the records, if not ``generic`` is off.
     """
     kept = feat.select("s", "x", *(c for c in (features.KEPT if version == "v1" else features.KEPT2) if c in feat.columns))
     others = []
     if version not in ("v1", "v2"):
         others.append(context.sibling_consensus(scored.select("s", "x", F.col("p1").alias("p")), split.entities, split.records))
-    if version in ("v5", "v6"):
+    if generic and version in ("v5", "v6"):
         others.append(features.generic_features(scored.select("s", "x"), split.left, split.right, generic_share))
-    every = context.competition(context.assembled(kept, scored, {name: logits[name] for name in SCORERS[version]}, others), "p1")
-    for name in SCORERS[version]:
-        every = context.scorer_competition(every, name) if name == "ce" else context.extra_round(every, name)
+    every = context.all_rounds(context.assembled(kept, scored, {name: logits[name] for name in SCORERS[version]}, others), "p1", SCORERS[version])
     return context.sibling_rank(every) if others else every
 
 

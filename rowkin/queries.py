@@ -2,14 +2,17 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark import StorageLevel
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from rowkin.functions.scripts import BLOCKS, INDIC, romanised
 from rowkin.functions.strings import similarities
 from rowkin.operators import blocking, context, decide, evaluate, features, folds, normalize, profile, tokens
-from rowkin.plans import models
+from rowkin.plans import models, pipeline
 from rowkin.sources import tables
 from rowkin.sources.fixture import VECTORS, WITH, Records, Vectors
 
@@ -111,9 +114,11 @@ norm AS (SELECT entity_id, business_name, business_address, country, CAST(substr
 )
 
 
-def normalised(spark, sf_dir) -> tuple[Records, DataFrame, DataFrame]:
+def normalised(spark, sf_dir, kept: bool = False) -> tuple[Records, DataFrame, DataFrame]:
+    """The records and both sides normalised; ``kept``: once, for plans that read them several times."""
     r = Records(spark, sf_dir)
-    return r, normalize.normalise(r.primary), normalize.normalise(r.secondary)
+    sides = normalize.normalise(r.primary), normalize.normalise(r.secondary)
+    return r, *(df.persist(StorageLevel.MEMORY_AND_DISK) if kept else df for df in sides)
 
 
 @query(NORM + " SELECT entity_id, country, src, nn, an, nc, nsp, ncc, init, array_to_string(nums, ',') AS nums, nonlatin, addr_empty, is_domain FROM norm")
@@ -122,6 +127,22 @@ def normalise_records(spark, sf_dir):
     return n.select("entity_id", "country", "src", "nn", "an", "nc", "nsp", "ncc", "init", F.array_join("nums", ",").alias("nums"), "nonlatin", "addr_empty", "is_domain")
 
 
+#: Consonants and vowels of the Latin alphabet, and the places in an Indic block of letters that are romanised to them.
+_LETTERS = dict(zip("kgjtdnpbmyrlvshaiueo", (0x15, 0x17, 0x1C, 0x24, 0x26, 0x28, 0x2A, 0x2C, 0x2E, 0x2F, 0x30, 0x32, 0x35, 0x38, 0x39, 0x05, 0x07, 0x09, 0x0F, 0x13), strict=True))
+_ROMAN = "regexp_replace(lower(p_name), '([kgjtdnpbmyrlvsh])', '\\1a', 'g')"
+for _from, _to in (("aa", "a"), ("ii", "i"), ("uu", "u"), ("sh", "s"), ("ph", "f"), ("chh", "ch")):
+    _ROMAN = f"replace({_ROMAN}, '{_from}', '{_to}')"
+
+
+@query(f"SELECT p_partkey, {_ROMAN} AS name, regexp_matches(lower(p_name), '[{''.join(_LETTERS)}]') AS nonlatin FROM part")
+def romanised_names(spark, sf_dir):
+    """Names spelled in each of the nine scripts by key, without vowel signs, so that every consonant carries its own a."""
+    part = spark.read.parquet(f"{sf_dir}/part.parquet")
+    spelled = [F.translate(F.lower("p_name"), "".join(_LETTERS), "".join(chr(block + place) for place in _LETTERS.values())) for block in BLOCKS]
+    name = F.element_at(F.array(*spelled), (F.col("p_partkey") % len(BLOCKS) + 1).cast("int"))
+    return part.select("p_partkey", name.alias("n")).select("p_partkey", romanised(F.col("n")).alias("name"), F.col("n").rlike(INDIC).alias("nonlatin"))
+
+
 @query(f"SELECT doc_id, {_CLEAN.format(c='text')} AS clean FROM documents")
 def norm_base(spark, sf_dir):
     return documents(spark, sf_dir).select("doc_id", normalize.base_clean(F.col("text")).alias("clean"))
@@ -287,10 +308,21 @@ def jaro_winkler(spark, sf_dir):
     return six(_name_pairs(spark, sf_dir).withColumn("score", similarities({"r": ("jaro_winkler", F.col("a"), F.col("b"))})["r"]), "score")
 
 
-@query()
-def token_set_partial_ratio(spark, sf_dir):
-    both = similarities({"token_set": ("token_set_ratio", F.col("a"), F.col("b")), "partial": ("partial_ratio", F.col("a"), F.col("b"))})
-    return _name_pairs(spark, sf_dir).withColumn("z", both).select("a", "b", F.round("z.token_set", 6).alias("token_set"), F.round("z.partial", 6).alias("partial"))
+_SETS_OF = "ts AS (SELECT a, b, list_distinct(string_split(a, ' ')) AS x, list_distinct(string_split(b, ' ')) AS y FROM pp), tp AS (SELECT a, b, array_to_string(list_sort(list_filter(x, lambda t: list_contains(y, t))), ' ') AS c, array_to_string(list_sort(list_filter(x, lambda t: NOT list_contains(y, t))), ' ') AS l, array_to_string(list_sort(list_filter(y, lambda t: NOT list_contains(x, t))), ' ') AS r FROM ts), tq AS (SELECT *, trim(c || ' ' || l) AS one, trim(c || ' ' || r) AS two FROM tp)"
+_BEGIN = "round(200.0 * length(c) / (length(c) + length({side})), 6)"  # the common words begin either side
+
+
+@query("WITH RECURSIVE " + _PAIR + ", " + _SETS_OF + ", need AS (SELECT DISTINCT one AS a, two AS b FROM tq), " + _lcs("a", "b", "need") + f", found AS (SELECT a, b, round(200.0 * r[len(r)] / (len(a) + len(b)), 6) AS score FROM rows WHERE i = len(a)) SELECT tq.a, tq.b, CASE WHEN c <> '' AND (l = '' OR r = '') THEN 100.0 WHEN c = '' THEN score ELSE greatest(score, {_BEGIN.format(side='one')}, {_BEGIN.format(side='two')}) END AS score FROM tq JOIN found ON found.a = one AND found.b = two")
+def token_set_ratio(spark, sf_dir):
+    return six(_name_pairs(spark, sf_dir).withColumn("score", similarities({"r": ("token_set_ratio", F.col("a"), F.col("b"))})["r"]), "score")
+
+
+_WINDOWS = "sp AS (SELECT a, b, CASE WHEN length(a) <= length(b) THEN a ELSE b END AS sh, CASE WHEN length(a) <= length(b) THEN b ELSE a END AS lo FROM pp UNION ALL SELECT a, b, b, a FROM pp WHERE length(a) = length(b)), win AS (SELECT a, b, sh, unnest(list_transform(range(1, length(sh) + length(lo)), lambda e: substring(lo, greatest(0, e - length(sh)) + 1, least(e, length(lo)) - greatest(0, e - length(sh))))) AS w FROM sp)"
+
+
+@query("WITH RECURSIVE " + _PAIR + f", {_WINDOWS}, need AS (SELECT DISTINCT sh AS a, w AS b FROM win), " + _lcs("a", "b", "need") + ", found AS (SELECT a, b, round(200.0 * r[len(r)] / (len(a) + len(b)), 6) AS score FROM rows WHERE i = len(a)) SELECT win.a, win.b, max(score) AS score FROM win JOIN found ON found.a = sh AND found.b = w GROUP BY ALL")
+def partial_ratio(spark, sf_dir):
+    return six(_name_pairs(spark, sf_dir).withColumn("score", similarities({"r": ("partial_ratio", F.col("a"), F.col("b"))})["r"]), "score")
 
 
 # --- pair features ---
@@ -313,13 +345,33 @@ def record_metadata(spark, sf_dir):
     return features.metadata(left.unionByName(right)).select("entity_id", "src", *(F.col(c).cast("int").alias(c) for c in flags), *(F.col(c).cast("long").alias(c) for c in ("ln", "la", "nw")))
 
 
-@query()
-def pair_features(spark, sf_dir):
-    r, left, right = normalised(spark, sf_dir)
+def _pair_features(spark, sf_dir) -> DataFrame:
+    r, left, right = normalised(spark, sf_dir, kept=True)
     pairs = r.pairs.withColumns({"sim": F.lit(0.5), "rx": F.lit(0), "rs": F.lit(0)})
     return six(features.pair_features(pairs, left, right), *features.STAGE1)
 
 
+@query()
+def pair_features(spark, sf_dir):
+    return _pair_features(spark, sf_dir)
+
+
+_PLAIN = [c for c in features.STAGE1 if c not in features.SCORES or c == "n_jw"]
+_OVERLAP_SQL = ", ".join(f"{n}m AS (SELECT s, x, {_measures(n)} FROM {n}_o)" for n in features.OVERLAPS)
+_SIDES = """b1 AS (SELECT fp.s, fp.x, p.nn AS n1, q.nn AS n2, list_transform(p.nums, lambda t: CAST(substring(t, 1, 12) AS DOUBLE)) AS v1, list_transform(q.nums, lambda t: CAST(substring(t, 1, 12) AS DOUBLE)) AS v2,
+ regexp_extract(p.an, '[0-9]+') AS f1, regexp_extract(q.an, '[0-9]+') AS f2, q.nonlatin AS x_nonlatin, q.addr_empty AS x_addr_empty, q.is_domain AS x_is_domain, q.src AS x_src, len(q.nn) AS x_ln, len(q.an) AS x_la, len(q.nn) - len(replace(q.nn, ' ', '')) AS x_nw,
+ len(p.nn) AS s_ln, len(p.an) AS s_la, len(p.nn) - len(replace(p.nn, ' ', '')) AS s_nw FROM fp JOIN norm p ON p.entity_id = fp.s JOIN norm q ON q.entity_id = fp.x),
+b2 AS (SELECT *, 0.5 AS sim, 0 AS rx, 0 AS rs, CASE WHEN n1 = '' AND n2 = '' THEN 1.0 ELSE jaro_winkler_similarity(n1, n2) END AS n_jw, len(v1) AS num_n1, len(v2) AS num_nx,
+ coalesce(list_sum(list_transform(v1, lambda u: len(list_filter(v2, lambda w: w = u)))), 0) AS num_inter, CAST(f1 = f2 AND f1 <> '' AS INT) AS fnum_eq, CAST(f2 = '' AS INT) AS fnum_miss FROM b1),
+b3 AS (SELECT *, CASE WHEN num_n1 + num_nx - num_inter > 0 THEN num_inter / (num_n1 + num_nx - num_inter) ELSE -1 END AS num_jac, coalesce(""" + _DIFF + """, -1) AS num_reldiff FROM b2)"""
+
+
+@query(NORM + ", " + ", ".join(_idf(c, stop, n) for n, (c, stop) in features.OVERLAPS.items()) + f", {_OVERLAP_SQL}, {_SIDES} SELECT s, x, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _PLAIN) + " FROM b3 " + " ".join(f"JOIN {n}m USING (s, x)" for n in features.OVERLAPS))
+def pair_features_plain(spark, sf_dir):
+    """All stage-1 columns but those that an LCS decides, whose kernels have queries of their own."""
+    return _pair_features(spark, sf_dir).select("s", "x", *_PLAIN)
+
+
 # --- retrieval ---
 
 
@@ -328,12 +380,6 @@ def blocked_topk(spark, sf_dir):
     return six(Vectors(spark, sf_dir).dense, "sim").withColumns({c: F.col(c).cast("long") for c in ("rx", "rs")})
 
 
-@query(VECTORS + " SELECT block, s, x, round(sim, 6) AS sim, rx, rs FROM dense")
-def blocked_topk_join(spark, sf_dir):
-    v = Vectors(spark, sf_dir)
-    return six(blocking.block_topk(v.entities, v.records, pairs=blocking.joined_pairs), "sim").withColumns({c: F.col(c).cast("long") for c in ("rx", "rs")})
-
-
 @query(VECTORS + " SELECT s, x, rx, rs FROM dense WHERE rx < 3 OR rs < 10")
 def prune_candidates(spark, sf_dir):
     return blocking.prune(Vectors(spark, sf_dir).dense).select("s", "x", F.col("rx").cast("long").alias("rx"), F.col("rs").cast("long").alias("rs"))
@@ -342,13 +388,30 @@ def prune_candidates(spark, sf_dir):
 @query(WITH + ", e AS (SELECT entity_id AS s, row_number() OVER (ORDER BY k) - 1 AS place, count(*) OVER () AS n FROM s1), t AS (SELECT s, x FROM truth ORDER BY CAST('0x' || md5(s || '|' || x)[:8] AS BIGINT) LIMIT 200000), f AS (SELECT e.s, x FROM (SELECT x, unnest([0, 1, 2]) AS j FROM t) JOIN e ON place = CAST('0x' || md5(x || '|' || j)[:8] AS BIGINT) % n) SELECT s, x, 0.5::DOUBLE AS sim, 0 AS rx, 0 AS rs FROM (SELECT * FROM t UNION SELECT * FROM f)")
 def debug_candidates(spark, sf_dir):
     r = Records(spark, sf_dir)
-    places = r.primary.select(F.col("entity_id").alias("s"), (F.row_number().over(Window.orderBy("k")) - 1).alias("place"))
+    places = blocking.numbered(r.primary.select(F.col("entity_id").alias("s"), "k"), "k")
     return blocking.debug_candidates(tables.truth_pairs(r.lists), places)
 
 
-@query()
+_GRAMS = "list_transform(range(1, length(t) - 1), lambda i: (unicode(substring(t, i, 1)) * 961 + unicode(substring(t, i + 1, 1)) * 31 + unicode(substring(t, i + 2, 1))) % 64)"
+
+
+@query(WITH + f", t AS (SELECT entity_id, lower(business_name || ' | ' || business_address) AS t FROM records), g AS (SELECT entity_id, unnest({_GRAMS}) AS d FROM t), n AS (SELECT entity_id, d, count(*) AS n FROM g GROUP BY ALL) SELECT entity_id, CAST(d AS INT) AS d, round(n / sqrt(sum(n * n) OVER (PARTITION BY entity_id)), 6) AS v FROM n")
 def hashed_embedding(spark, sf_dir):
-    return models.embedded(Records(spark, sf_dir).every, blocking.hashed_ngrams).select("entity_id", F.transform("e", lambda v: F.round(v, 6)).alias("e"))
+    embedded = models.embedded(Records(spark, sf_dir).every, blocking.NgramEmbedder())
+    return embedded.select("entity_id", F.posexplode("e").alias("d", "v")).filter("v > 0").select("entity_id", "d", F.round("v", 6).alias("v"))
+
+
+_EF = "fitted AS (SELECT d, 1 + ln((1 + any_value(c)) / (1 + count(*))) AS w FROM (SELECT DISTINCT entity_id, d FROM g), (SELECT count(*) AS c FROM t) GROUP BY d)"
+
+
+@query(WITH + f", t AS (SELECT entity_id, lower(business_name || ' | ' || business_address) AS t FROM s1), g AS (SELECT entity_id, unnest({_GRAMS}) AS d FROM t), {_EF} SELECT CAST(d AS INT) AS d, round(w, 6) AS w FROM fitted")
+def fitted_embedder(spark, sf_dir):
+    """The rarity weights that the embedder learns, of the buckets that occur."""
+    text = normalize.pair_text(F.col("business_name"), F.col("business_address"))
+    r = Records(spark, sf_dir).primary
+    fitted = blocking.NgramEmbedder().fit(r.select(F.lower(text).alias("text")))
+    most = 1 + math.log(1 + r.count())  # the weight of a bucket that no text has
+    return spark.createDataFrame([(d, round(w, 6)) for d, w in enumerate(fitted.weights) if w < most - 1e-9], "d int, w double")
 
 
 # --- folds, samples, labels ---
@@ -408,22 +471,49 @@ def extra_round(spark, sf_dir):
     return six(out, "ce2_gap_x").withColumn("ce2_rank_x", F.col("ce2_rank_x").cast("long"))
 
 
-@query(VECTORS + ", ce AS (SELECT s, x, round(sim * 5, 6) AS ce FROM pairs WHERE p > 0.55) SELECT s, x, rx, round(p, 6) AS p, coalesce(ce, -12.0) AS ce FROM pairs LEFT JOIN ce USING (s, x)")
+_SIB = """, w AS (SELECT s, x, CASE WHEN p > 0.5 THEN p ELSE 0 END AS w, r.e AS ex FROM pairs JOIN r USING (x)),
+c AS (SELECT s, list(c ORDER BY d) AS c FROM (SELECT s, d, sum(w * ex[d]) AS c FROM w, range(1, 65) t(d) GROUP BY s, d) GROUP BY s), t AS (SELECT s, sum(w) AS t FROM w GROUP BY s),
+o AS (SELECT w.s, x, ex, e.e AS es, t - w AS sib_w, list_transform(range(1, 65), lambda d: c[d] - ex[d] * w) AS o FROM w JOIN c USING (s) JOIN t USING (s) JOIN e USING (s)),
+f AS (SELECT s, x, sib_w, CASE WHEN sib_w > 0.001 THEN list_inner_product(ex, o) / greatest(sqrt(list_inner_product(o, o)), 1e-6) ELSE -1 END AS sib_cos, list_inner_product(es, o) / greatest(sqrt(list_inner_product(o, o)), 1e-6) AS s1_sib_cos FROM o)"""
+#: Where nothing but rounding is left of the centroid, its direction is noise; below 1e-6 the cosine is bounded by its length.
+_NEAR = "round(sib_w, 6) AS sib_w, round(sib_cos, 6) AS sib_cos, round(s1_sib_cos, 6) AS s1_sib_cos, round(sib_cos - s1_sib_cos, 6) AS sib_minus_s1"
+
+
+def _siblings(v: Vectors) -> DataFrame:
+    return context.sibling_consensus(v.pairs.select("s", "x", "p"), v.entities, v.records, least=0.5)
+
+
+@query(VECTORS + _SIB + f" SELECT s, x, {_NEAR} FROM f")
+def sibling_consensus(spark, sf_dir):
+    return six(_siblings(Vectors(spark, sf_dir)), "sib_w", "sib_cos", "s1_sib_cos", "sib_minus_s1")
+
+
+@query(VECTORS + _SIB + " SELECT s, x, row_number() OVER (PARTITION BY x ORDER BY round(sib_cos, 9) DESC, s) AS sib_rank_x FROM f")
+def sib_rank(spark, sf_dir):
+    found = _siblings(Vectors(spark, sf_dir)).withColumn("sib_cos", F.round("sib_cos", 9))
+    return context.sibling_rank(found).select("s", "x", F.col("sib_rank_x").cast("long").alias("sib_rank_x"))
+
+
+@query(VECTORS + ", ce AS (SELECT s, x, round(sim * 5, 6) AS ce FROM pairs WHERE p > 0.55), g AS (SELECT s, x, round(sim + 1, 6) AS extra FROM pairs WHERE x % 2 = 0) SELECT s, x, rx, round(p, 6) AS p, coalesce(ce, -12.0) AS ce, extra FROM pairs LEFT JOIN ce USING (s, x) LEFT JOIN g USING (s, x)")
 def feature_assembly(spark, sf_dir):
     v = Vectors(spark, sf_dir).pairs
-    logits = v.filter("p > 0.55").select("s", "x", F.round(F.col("sim") * 5, 6).alias("ce"))
-    return six(context.assembled(v.select("s", "x", F.col("rx").cast("long").alias("rx")), v.select("s", "x", "p"), {"ce": logits}, []), "p")
+    logits, extra = v.filter("p > 0.55").select("s", "x", F.round(F.col("sim") * 5, 6).alias("ce")), v.filter("x % 2 = 0").select("s", "x", F.round(F.col("sim") + 1, 6).alias("extra"))
+    return six(context.assembled(v.select("s", "x", F.col("rx").cast("long").alias("rx")), v.select("s", "x", "p"), {"ce": logits}, [extra]), "p")
 
 
-@query(VECTORS + """, w AS (SELECT s, x, CASE WHEN p > 0.5 THEN p ELSE 0 END AS w, r.e AS ex FROM pairs JOIN r USING (x)),
-c AS (SELECT s, list(c ORDER BY d) AS c FROM (SELECT s, d, sum(w * ex[d]) AS c FROM w, range(1, 65) t(d) GROUP BY s, d) GROUP BY s), t AS (SELECT s, sum(w) AS t FROM w GROUP BY s),
-o AS (SELECT w.s, x, ex, e.e AS es, t - w AS sib_w, list_transform(range(1, 65), lambda d: c[d] - ex[d] * w) AS o FROM w JOIN c USING (s) JOIN t USING (s) JOIN e USING (s)),
-f AS (SELECT s, x, sib_w, CASE WHEN sib_w > 0.001 THEN list_inner_product(ex, o) / greatest(sqrt(list_inner_product(o, o)), 1e-6) ELSE -1 END AS sib_cos, list_inner_product(es, o) / greatest(sqrt(list_inner_product(o, o)), 1e-6) AS s1_sib_cos FROM o)
-SELECT s, x, round(sib_w, 6) AS sib_w, round(CASE WHEN sib_w > 0.001 THEN sib_cos ELSE -1 END, 6) AS sib_cos, round(CASE WHEN sib_w > 0.001 THEN s1_sib_cos ELSE 0 END, 6) AS s1_sib_cos FROM f""")
-def sibling_consensus(spark, sf_dir):
+_CES = {"ce": "sim * 10 - 1", "ce2": "sim * 7", "ce3": "1 - sim * 3", "ce4": "sim - 0.5"}
+_ROUNDS = "".join(f", row_number() OVER (PARTITION BY x ORDER BY {n} DESC, s) AS {n}_rank_x, {n} - max({n}) OVER (PARTITION BY x) AS {n}_gap_x, CAST(sum(CAST({n} > 0 AS INT)) OVER (PARTITION BY s) AS BIGINT) AS {n}_hi_s" for n in _CES)
+_STAGE3 = [c for c in features.STAGE2["v6"] if c not in features.KEPT2 and c not in features.GENERIC and c not in ("sib_rank_x", "s1_sib_cos", "sib_minus_s1", "ce", "ce2", "ce3", "ce4")] + ["sib_rank_x"]
+
+
+@query(VECTORS + _COMP + _SIB.replace("p > 0.5 ", "p > 0.1 ") + ", cs AS (SELECT s, x, " + ", ".join(f"{e} AS {n}" for n, e in _CES.items()) + f" FROM pairs), k1 AS (SELECT *{_ROUNDS}, max(ce) OVER (PARTITION BY x) AS ce_max_x, row_number() OVER (PARTITION BY s ORDER BY ce DESC, x) AS ce_rank_s FROM cs), k2 AS (SELECT *, max(CASE WHEN ce_rank_x = 2 THEN ce ELSE -99 END) OVER (PARTITION BY x) AS c2 FROM k1), k3 AS (SELECT *, CASE WHEN ce_rank_x = 1 THEN ce - c2 ELSE ce_max_x * -1 + ce END AS ce_margin_x FROM k2), sr AS (SELECT s, x, sib_w, sib_cos, row_number() OVER (PARTITION BY x ORDER BY sib_cos DESC, s) AS sib_rank_x FROM f), all3 AS (SELECT * EXCLUDE (p2), p - p_max_x AS gap_x, p_sum_x - p AS other_x, CASE WHEN p_rank_x = 1 THEN p - p2 ELSE p - p_max_x END AS margin_x FROM c2) SELECT s, x, " + ", ".join(f"round(CAST({c} AS DOUBLE), 6) AS {c}" for c in _STAGE3) + " FROM all3 JOIN k3 USING (s, x) JOIN sr USING (s, x)")
+def stage3_features(spark, sf_dir):
+    """All columns around the scores that the second model's last version reads; record features and generic words have queries of their own."""
     v = Vectors(spark, sf_dir)
-    out = context.sibling_consensus(v.pairs.select("s", "x", "p"), v.entities, v.records, least=0.5)
-    return six(out.withColumn("s1_sib_cos", F.when(F.col("sib_w") > 0.001, F.col("s1_sib_cos")).otherwise(0.0)), "sib_w", "sib_cos", "s1_sib_cos").drop("sib_minus_s1")
+    pairs = v.pairs.select("s", "x", "sim", F.col("p").alias("p1")).persist(StorageLevel.MEMORY_AND_DISK)  # read once for each score
+    logits = {n: pairs.select("s", "x", F.expr(e).alias(n)) for n, e in _CES.items()}
+    split = pipeline.Split(None, None, v.entities, v.records, None)
+    return six(pipeline.stage2_columns(pairs.select("s", "x", "sim"), pairs.drop("sim"), logits, "v6", split, generic=False).select("s", "x", *_STAGE3), *_STAGE3)
 
 
 # --- decisions ---

@@ -144,6 +144,20 @@ def test_extra_round_and_missing_scores(spark):
     assert got == {(1, 1): (2, 1), (2, 1): (1, 1), (1, 2): (1, 1)}
 
 
+def test_rounds_together_are_rounds_apart(spark):
+    pairs = Vectors(spark, SF).pairs.select("s", "x", "p", (F.col("sim") * 10 - 1).alias("ce"), F.col("sim").alias("ce2")).persist()
+    together = context.all_rounds(pairs, "p", ("ce", "ce2"))
+    apart = context.extra_round(context.scorer_competition(context.competition(pairs), "ce"), "ce2")
+    columns = sorted(apart.columns)
+    rows = [sorted(tuple(round(r[c], 9) for c in columns) for r in df.collect()) for df in (together, apart)]
+    assert sorted(together.columns) == columns and rows[0] == rows[1]
+
+
+def test_places_are_dense(spark):
+    got = blocking.numbered(spark.range(1000).select((F.col("id") * 7 % 1000).alias("k")).repartition(7), "k").collect()
+    assert sorted((r.place, r.k) for r in got) == [(k, k) for k in range(1000)]
+
+
 def test_empty_inputs(spark):
     v = Vectors(spark, SF)
     none = v.pairs.limit(0)
@@ -161,24 +175,22 @@ def test_stream(spark, tmp_path):
 
 @pytest.fixture(scope="module")
 def rounds(spark, tmp_path_factory):
-    """The loop over all versions on a tenth of the records, with few trees."""
+    """The loop up to v3 with few trees."""
     r = Records(spark, SF)
     columns = tables.RECORD.names
     primary, secondary = r.primary.select(*columns), r.secondary.select(*columns)
-    config = pipeline.Config(str(tmp_path_factory.mktemp("work")), top=8, trees={"maxIter": 3, "maxDepth": 3, "minInstancesPerNode": 5}, hot="France")
+    config = pipeline.Config(str(tmp_path_factory.mktemp("work")), top=5, trees={"maxIter": 3, "maxDepth": 3, "minInstancesPerNode": 5}, hot="France")
     base = primary, secondary, r.lists
-    trained, scores = pipeline.rounds(base, (primary, secondary), config)
+    trained, scores = pipeline.rounds(base, (primary, secondary), config, "v3")
     return base, config, trained, scores
 
 
-def test_every_version(spark, rounds):
+def test_rounds(rounds):
     (primary, secondary, lists), config, trained, scores = rounds
-    assert trained.version == "v6" and list(trained.scorers) == ["ce", "ce2", "ce3", "ce4"] and trained.scorers["ce4"].start is trained.scorers["ce3"]
-    assert trained.method in decide.METHODS and len(trained.stage1.importances(5)) == 5 and trained.stage2.columns == list(features.STAGE2["v6"])
+    assert trained.version == "v3" and list(trained.scorers) == ["ce", "ce2"] and trained.scorers["ce2"].start is trained.scorers["ce"]
+    assert trained.method in decide.METHODS and len(trained.stage1.importances(5)) == 5 and trained.stage2.columns == list(features.STAGE2["v3"])
     for df in (trained.report, trained.validation):
         assert df.count() == len(decide.METHODS) and df.filter("score >= 0 AND score <= 1").count() == len(decide.METHODS)
-    full = spark.read.parquet(f"{config.work}/train_v6_full")
-    assert set(features.STAGE2["v6"]) <= set(full.columns) and full.filter("sib_rank_x = 1").count() == full.select("x").distinct().count()
     matches, candidates = pipeline.results(scores, primary, trained.method)
     n = primary.count()
     assert matches.count() == candidates.count() == n
@@ -190,30 +202,38 @@ def test_every_version(spark, rounds):
     assert again.count() == n and {q.country for q in report.collect()} == {"US", "India", "France"}
 
 
-def test_first_version_and_missing_scorers(rounds):
-    base, config, trained, _ = rounds
+@pytest.mark.parametrize("version", ["v1", "v4", "v6"])
+def test_columns_of_every_version(spark, rounds, version):
+    _, config, trained, _ = rounds
+    read = lambda name: spark.read.parquet(f"{config.work}/train_{name}")
+    split = pipeline.Split(read("norm_s"), read("norm_x"), read("embed_s"), read("embed_x"), read("cand"))
+    logits = {c: read("v3_ce").withColumnRenamed("ce", c) for c in pipeline.SCORERS[version]}
+    full = pipeline.stage2_columns(read("feat"), read("p1"), logits, version, split)
+    assert set(features.STAGE2[version]) <= set(full.columns) and ("sib_rank_x" in full.columns) == (version != "v1")
+    assert full.count() == read("p1").count()
+
+
+def test_missing_scorers(rounds):
+    base, config, _, _ = rounds
     with pytest.raises(ValueError, match="ce2"):
         pipeline.train(*base, replace(config, version="v3"))
-    first = pipeline.train(*base, replace(config, version="v1"), trained)
-    assert first.scorers == {} and first.stage2.columns == list(features.STAGE2["v1"]) and first.stage1 is trained.stage1
 
 
-def test_saved_model_scores_alike_in_another_process(rounds, tmp_path):
-    (primary, secondary, _), config, trained, scores = rounds
+def test_saved_model_scores_alike_in_another_process(spark, rounds, tmp_path):
+    _, config, trained, _ = rounds
     trained.save(str(tmp_path / "model"))
-    primary.write.parquet(str(tmp_path / "s1"))
-    secondary.write.parquet(str(tmp_path / "s23"))
-    scores.write.parquet(str(tmp_path / "scores"))
+    spark.createDataFrame([("acme group", "acme grp"), ("blue bolt", "red nut")], "text_s string, text_x string").write.parquet(str(tmp_path / "pairs"))
+    want = [round(r.ce, 9) for r in trained.scorers["ce2"].score(spark.read.parquet(str(tmp_path / "pairs"))).orderBy("text_s").collect()]
     code = f"""
 from pyspark.sql import SparkSession
 from rowkin.plans import pipeline
 spark = SparkSession.builder.master("local[4]").config("spark.sql.shuffle.partitions", "4").config("spark.ui.enabled", "false").getOrCreate()
-read = lambda n: spark.read.parquet(f"{tmp_path}/{{n}}")
 trained = pipeline.Trained.load("{tmp_path}/model")
-assert trained.method == "{trained.method}" and trained.report.count() == 7
-got = pipeline.score(read("s1"), read("s23"), trained, pipeline.Config("{tmp_path}/work", top={config.top}))
-both = got.join(read("scores").withColumnRenamed("q", "q2"), ["s", "x"])
-assert both.count() == got.count() == read("scores").count() and both.filter("abs(q - q2) > 1e-9").count() == 0
+assert trained.method == "{trained.method}" and trained.report.count() == trained.validation.count() == 7 and trained.embed.weights == {trained.embed.weights}
+q = trained.stage2.score(spark.read.parquet("{config.work}/train_v3_full"), "q2").select("s", "x", "q2")
+both = spark.read.parquet("{config.work}/train_v3_best").join(q, ["s", "x"])
+assert both.count() > 0 and both.filter("abs(q - q2) > 1e-9").count() == 0
+assert [round(r.ce, 9) for r in trained.scorers["ce2"].score(spark.read.parquet("{tmp_path}/pairs")).orderBy("text_s").collect()] == {want}
 print("alike")
 """
     env = os.environ | {"PYTHONPATH": os.pathsep.join([os.path.dirname(os.path.dirname(os.path.abspath(__file__))), os.environ.get("PYTHONPATH", "")])}
