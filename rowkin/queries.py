@@ -247,12 +247,6 @@ def generic_flags(spark, sf_dir):
     return features.generic_features(r.pairs, left, right, 0.05).select("s", "x", "d_eq", "d_empty_x", "d_empty_s", "g_only_diff", "n_same_addr")
 
 
-@query()
-def generic_scores(spark, sf_dir):
-    r, left, right = normalised(spark, sf_dir)
-    return six(features.generic_features(r.pairs, left, right, 0.05), "d_ratio", "d_tset", "d_part", "g_tset").select("s", "x", "d_ratio", "d_tset", "d_part", "g_tset")
-
-
 _SETS = WITH + ", w AS (SELECT entity_id, list_distinct(regexp_extract_all(lower(business_name), '[a-z]{3,}|[0-9]+')) AS n, list_distinct(regexp_extract_all(lower(business_address), '[a-z]{3,}|[0-9]+')) AS a, business_address = '' AS e FROM records)"
 
 
@@ -325,6 +319,23 @@ def partial_ratio(spark, sf_dir):
     return six(_name_pairs(spark, sf_dir).withColumn("score", similarities({"r": ("partial_ratio", F.col("a"), F.col("b"))})["r"]), "score")
 
 
+_SIDES_OF = "FROM fp JOIN dist a ON a.entity_id = s JOIN dist b ON b.entity_id = x"
+_ALL_SCORES = (
+    f"dp AS (SELECT DISTINCT a.d AS a, b.d AS b {_SIDES_OF}), pp AS (SELECT * FROM dp UNION SELECT a.gs, b.gs {_SIDES_OF}), {_SETS_OF}, {_WINDOWS.replace('FROM pp', 'FROM dp')}, need AS (SELECT a, b FROM dp UNION SELECT one, two FROM tq UNION SELECT sh, w FROM win), "
+    + _lcs("a", "b", "need")
+    + f""", found AS (SELECT a, b, CASE WHEN a = b THEN 100.0 ELSE round(200.0 * r[len(r)] / (len(a) + len(b)), 6) END AS score FROM rows WHERE i = len(a)),
+tset AS (SELECT tq.a, tq.b, CASE WHEN tq.a = '' OR tq.b = '' THEN 0.0 WHEN c <> '' AND (l = '' OR r = '') THEN 100.0 WHEN c = '' THEN score ELSE greatest(score, {_BEGIN.format(side='one')}, {_BEGIN.format(side='two')}) END AS v FROM tq JOIN found ON found.a = one AND found.b = two),
+best AS (SELECT win.a, win.b, max(score) AS v FROM win JOIN found ON found.a = sh AND found.b = w GROUP BY ALL),
+part AS (SELECT dp.a, dp.b, CASE WHEN dp.a = dp.b THEN 100.0 WHEN dp.a = '' OR dp.b = '' THEN 0.0 ELSE v END AS v FROM dp LEFT JOIN best ON best.a = dp.a AND best.b = dp.b)"""
+)
+
+
+@query(GENERIC.replace("WITH ", "WITH RECURSIVE ", 1) + f", {_ALL_SCORES} SELECT s, x, f.score::DOUBLE AS d_ratio, t.v::DOUBLE AS d_tset, p.v::DOUBLE AS d_part, g.v::DOUBLE AS g_tset {_SIDES_OF} JOIN found f ON f.a = a.d AND f.b = b.d JOIN tset t ON t.a = a.d AND t.b = b.d JOIN part p ON p.a = a.d AND p.b = b.d JOIN tset g ON g.a = a.gs AND g.b = b.gs")
+def generic_scores(spark, sf_dir):
+    r, left, right = normalised(spark, sf_dir)
+    return six(features.generic_features(r.pairs, left, right, 0.05), "d_ratio", "d_tset", "d_part", "g_tset").select("s", "x", "d_ratio", "d_tset", "d_part", "g_tset")
+
+
 # --- pair features ---
 
 _DIFF = "list_min(flatten(list_transform(v1, lambda u: list_transform(v2, lambda w: abs(u - w) / greatest(1, u, w)))))"
