@@ -27,7 +27,7 @@ def exact(spark, docs, sf_dir):
 
 
 def near(spark, docs, sf_dir):
-    """Of each group of near duplicates (five-word shingles, similarity 0.8 or more), the document with the smallest id stays."""
+    """Of each group of near duplicates (SimHash candidates, five-word shingles of similarity 0.8 or more), the document with the smallest id stays."""
     return near_dedup.keep_similar(docs)
 
 

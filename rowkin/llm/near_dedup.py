@@ -1,12 +1,18 @@
-"""Near-dedup of texts by word shingles: groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
-
-Candidates come from min-hashing: ``BANDS`` keys a text, each of ``ROWS`` least hashes. A pair of similarity 0.8 has no common key with a chance of
-(1 - 0.8^5)^32, 3 in a million, and less the more alike it is. Every link is verified on the two whole shingle sets, so no pair below 0.8 is linked.
-
-Texts with a common key form a bucket. At first each member is verified with one member of the bucket that a hash chooses, a different one for each key, which
-joins nearly all of a large group by a number of pairs in proportion to its size. Then, in each bucket, the members outside its largest component are verified
-with all members of other components, in large buckets by tiles within a task that emit only links, so the components are those of all candidate pairs above the
-threshold. Work grows with the square of a bucket's size only where many of its members are not in one component.
+"""Near-dedup of texts by SimHash and covering locality-sensitive hashing: groups of texts whose sets of five-word shingles have a Jaccard similarity of 0.8 or more.
+
+A text's fingerprint has 192 bits, each set where over half its shingle hashes have it. It is cut into 12 parts of 16 bits, and each part has the 7 covering masks
+for radius 2 of ``simhash``, so there are 84 tables: two texts meet in one for certain if their fingerprints differ in 35 bits or fewer, since then some part differs
+in two at most, and in most cases beyond. In each table texts are candidates if a chain of texts of one key joins them, each within ``REACH`` bits of the next. By
+calculation fingerprints at a similarity of 0.8 differ in 29 bits on average; 2 pairs of exactly 0.8 in a million meet in no table, 1 differs in over ``REACH`` bits,
+and fewer the more alike they are. Sets of few shingles differ in less even ways: the one case well beyond that, four shingles within five, is met by adding the
+fingerprints of a set of five without one each. Every link is verified on the two whole shingle sets, so no pair below 0.8 is linked.
+
+The candidates of a table are cut once more into chains, of fingerprints of 1,024 bits that differ in ``LONG_REACH`` bits at most, where 155 are the average at 0.8.
+These form buckets. At first each member is verified with one member of the bucket that a hash chooses, in large buckets with several, which joins nearly all of a
+large group by a number of pairs in proportion to its size. Then, in each bucket, the members outside its largest component are verified with all members of other
+components, in large buckets by tiles within a task that emit only links, so the components are those of all candidate pairs above the threshold. Work grows with the
+square of a bucket's size only where many of its members are not in one component. Fingerprints of one key are compared in pairs, some 4 ns each, unless they are in
+one chain already: this part grows with the square of the number of texts.
 
 Defined cases: words are separated by ASCII white space, only A-Z are lower-cased; fewer words than a shingle make one shingle; texts without a word, null and
 empty ones among them, are alike; rows without an id stay; rows that repeat an id are decided by their own text; an empty table gives an empty result; all
@@ -23,12 +29,21 @@ from pyspark.sql import functions as F
 
 from rowkin.llm._common import cut, small_batches
 from rowkin.llm.graph import components
+from rowkin.llm.simhash import masks
 
 SHINGLE, SIMILARITY = 5, 0.8
-BANDS, ROWS = 32, 5
-#: Up to this size a bucket's pairs are verified one by one; members of larger ones by tiles of about so many.
-BUCKET, TILE = 16, 1000
-_RULE = np.array([[xxhash.xxh3_64_intdigest(bytes([k, j]), 7) for k in range(BANDS * ROWS)] for j in (0, 1)], np.uint64)
+#: Parts of 16 bits of a fingerprint, the radius that the masks of a part cover, and the bits in which the fingerprints of candidates may differ.
+PARTS, RADIUS, REACH = 12, 2, 54
+WORDS = PARTS // 4
+#: The same of the long fingerprints, of 1,024 bits.
+LONG, LONG_REACH = 16, 224
+#: Tasks' shares of a table, the fingerprints dealt at once, and the size up to which all pairs of a key are compared at once.
+SHARES, DEALT, SQUARE = 64, 1 << 15, 512
+_ENTRY = np.dtype([("node", "<i8"), ("print", "<u8", WORDS)])
+_MASKS = np.array([m & 0xFFFF for m in masks(RADIUS)], np.uint16)
+#: Up to this size a bucket's pairs are verified one by one; members of larger ones by tiles of about so many, after so many leads.
+BUCKET, TILE, LEADS = 16, 1000, 16
+_RULE = np.array([[xxhash.xxh3_64_intdigest(bytes([k, j]), 7) for k in range(LONG)] for j in (0, 1)], np.uint64)
 _FLIP, _TIMES = _RULE[0], _RULE[1] | np.uint64(1)
 
 
@@ -43,13 +58,123 @@ def shingles(text: str | None, size: int = SHINGLE) -> np.ndarray:
     return np.unique(np.fromiter((digest(joined[a:b]) for a, b in zip(starts, ends[size - 1 :])), np.uint64, n - size + 1))
 
 
-def keys(found: np.ndarray) -> list[int]:
-    """The keys of a set of shingles, signed, one for each band."""
-    least = np.full(BANDS * ROWS, np.iinfo(np.uint64).max, np.uint64)
-    for at in range(0, found.size, 1024):
-        np.minimum(least, ((found[at : at + 1024, None] ^ _FLIP) * _TIMES).min(axis=0), out=least)
-    rows = least.reshape(BANDS, ROWS)
-    return np.array([xxhash.xxh3_64_intdigest(r.tobytes(), k) for k, r in enumerate(rows)], np.uint64).view(np.int64).tolist()
+def fingerprint(found: np.ndarray, words: int = WORDS) -> bytes:
+    """The fingerprint of a set of shingles; zero for none."""
+    total = np.zeros(64 * words, np.int64)
+    for at in range(0, found.size, 255):  # so many fit a sum of one byte
+        h = (found[at : at + 255, None] ^ _FLIP[:words]) * _TIMES[:words]
+        h = (h ^ h >> np.uint64(32)) * _TIMES[:words]
+        h ^= h >> np.uint64(29)
+        total += np.unpackbits(h.astype("<u8", copy=False).view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.uint8)
+    return np.packbits(2 * total > found.size, bitorder="little").tobytes()
+
+
+def fingerprints(found: np.ndarray, words: int = WORDS) -> bytes:
+    """The fingerprint of a set of shingles; of five, also those of each four of them, one after the other."""
+    return fingerprint(found, words) + b"".join(fingerprint(np.delete(found, k), words) for k in range(5 if found.size == 5 else 0))
+
+
+def _apart(cols: list[np.ndarray], others: list) -> np.ndarray:
+    return sum((np.bitwise_count(c ^ o) for c, o in zip(cols, others, strict=True)), np.zeros((), np.uint16))
+
+
+def chains(prints: np.ndarray, reach: int = REACH) -> list[np.ndarray]:
+    """The places of fingerprints in each component, of two or more, of those that differ in so many bits at most."""
+    cols = [np.ascontiguousarray(c) for c in prints.T]
+    rest, out = np.arange(len(prints)), []
+    if rest.size <= SQUARE:
+        few = _apart([c[:, None] for c in cols], cols) <= reach
+        if np.count_nonzero(few) == rest.size:
+            return out
+        rest = np.flatnonzero(np.count_nonzero(few, axis=1) > 1)
+        cols = [c[rest] for c in cols]
+    while rest.size:
+        todo, chain = [(rest[0], [c[0] for c in cols])], []
+        rest, cols = rest[1:], [c[1:] for c in cols]
+        while todo:
+            x, own = todo.pop()
+            chain.append(x)
+            if rest.size and (near := _apart(cols, own) <= reach).any():
+                todo += zip(rest[near], zip(*(c[near] for c in cols), strict=True), strict=True)
+                rest, cols = rest[~near], [c[~near] for c in cols]
+        if len(chain) > 1:
+            out.append(np.array(chain))
+    return out
+
+
+def _buckets(found) -> pa.Table:
+    """(k, node) of the nodes of chains, k being the least node."""
+    sets = [own for own in map(np.unique, found) if own.size > 1]
+    none = [np.zeros(0, np.int64)]
+    return pa.table({"k": pa.array(np.concatenate(none + [np.full(own.size, own[0]) for own in sets])), "node": pa.array(np.concatenate(none + sets))})
+
+
+def candidates(nodes: DataFrame) -> DataFrame:
+    """(k, node) of the buckets of all tables, k being the least node. ``nodes``: node, prints."""
+
+    def dealt(batches):
+        """A row for each share of each table with the entries of very many texts."""
+        held, size = [], 0
+
+        def rows_of(held):
+            data = np.concatenate(held)
+            lanes = data["print"].view("<u2")
+            for p in range(PARTS):
+                shares, blobs = [], []
+                for j, m in enumerate(_MASKS):
+                    share = (lanes[:, p] & m) * np.uint16(40503) >> np.uint16(10)
+                    order = np.argsort(share, kind="stable")
+                    share, own = share[order], data[order]
+                    starts = np.flatnonzero(np.diff(share, prepend=np.uint16(SHARES)))
+                    shares += ((p * len(_MASKS) + j) * SHARES + share[starts].astype(np.int64)).tolist()
+                    blobs += [own[a:b].tobytes() for a, b in zip(starts, [*starts[1:], len(own)])]
+                yield pa.RecordBatch.from_arrays([pa.array(shares, pa.int32()), pa.array(blobs, pa.binary())], ["share", "entries"])
+
+        for rows in batches:
+            texts = rows.column(1).to_pylist()
+            part = np.zeros(sum(map(len, texts)) // (8 * WORDS), _ENTRY)
+            part["node"] = np.repeat(rows.column(0).to_numpy(zero_copy_only=False), [len(t) // (8 * WORDS) for t in texts])
+            part["print"] = np.frombuffer(b"".join(texts), "<u8").reshape(-1, WORDS)
+            held.append(part)
+            size += len(part)
+            if size >= DEALT:
+                yield from rows_of(held)
+                held, size = [], 0
+        if size:
+            yield from rows_of(held)
+
+    def of_group(group):
+        data = np.frombuffer(b"".join(group["entries"].to_pylist()), _ENTRY)
+        p, j = divmod(group["share"][0].as_py() // SHARES, len(_MASKS))
+        key = data["print"].view("<u2")[:, p] & _MASKS[j]
+        order = np.argsort(key, kind="stable")
+        key, data = key[order], data[order]
+        starts = np.flatnonzero(np.diff(key, prepend=~key[:1]))
+        spans = [(a, b) for a, b in zip(starts, [*starts[1:], len(key)]) if b - a > 1]
+        return _buckets(data["node"][a:b][chain] for a, b in spans for chain in chains(data["print"][a:b]))
+
+    shares = nodes.select("node", "prints").mapInArrow(dealt, "share int, entries binary")
+    return shares.groupBy("share").applyInArrow(of_group, "k long, node long").distinct()
+
+
+def refined(keyed: DataFrame, texts: DataFrame) -> DataFrame:
+    """The buckets (k, node) cut into chains of long fingerprints. Buckets with a text whose least bucket is the same are one, so that a large group does not come once for each table."""
+
+    def of_batch(batches):
+        for rows in batches:
+            yield pa.RecordBatch.from_arrays([rows.column(0), pa.array([fingerprints(shingles(t.as_py()), LONG) for t in rows.column(1)], pa.binary())], ["node", "prints"])
+
+    def of_group(group):
+        texts = group["prints"].to_pylist()
+        nodes = np.repeat(group["node"].to_numpy(), [len(t) // (8 * LONG) for t in texts])
+        return _buckets(nodes[chain] for chain in chains(np.frombuffer(b"".join(texts), "<u8").reshape(-1, LONG), LONG_REACH))
+
+    prints = cut(texts.select("node", "text").mapInArrow(of_batch, "node long, prints binary"))
+    met = keyed.groupBy("node").agg(F.collect_set("k").alias("ks")).join(prints, "node")  # of a text, one bucket for each table at most
+    found = cut(met.select(F.explode("ks").alias("k"), "node", "prints").groupBy("k").applyInArrow(of_group, "k long, node long").distinct())
+    least = found.groupBy("node").agg(F.min("k").alias("least"))
+    joined = found.join(least, "node").groupBy("k").agg(F.min("least").alias("to"))
+    return cut(found.join(joined, "k").select(F.col("to").alias("k"), "node").distinct())
 
 
 def alike(a: np.ndarray, b: np.ndarray, similarity: float = SIMILARITY) -> bool:
@@ -82,7 +207,7 @@ def links(texts: DataFrame, keyed: DataFrame, bucket: int = BUCKET, tile: int =
     """(node, root) of all texts that are linked to another. ``texts``: node, text of all that share a key; ``keyed``: k, node, lead of each bucket."""
     pairs = cut(keyed.filter("node <> lead").select(F.least("node", "lead").alias("a"), F.greatest("node", "lead").alias("b")).distinct())
     roots = components(_verified(pairs, texts))
-    labelled = cut(keyed.select("k", "node").join(roots, "node", "left").select("k", "node", F.coalesce("root", "node").alias("root")))
+    labelled = cut(keyed.select("k", "node").distinct().join(roots, "node", "left").select("k", "node", F.coalesce("root", "node").alias("root")))
     parts = labelled.groupBy("k", "root").count().groupBy("k").agg(F.max_by("root", F.struct("count", "root")).alias("top"), F.count(F.lit(1)).alias("n")).filter("n > 1").select("k", "top")
     left = cut(labelled.join(parts, "k"))
     sizes = cut(left.groupBy("k").agg(F.count(F.lit(1)).alias("n")))
@@ -137,16 +262,19 @@ def keep_similar(docs: DataFrame) -> DataFrame:
 
     def of_batch(batches):
         for rows in batches:
-            found = pa.array([keys(shingles(t.as_py())) for t in rows.column(2)], pa.list_(pa.int64()))
-            yield pa.RecordBatch.from_arrays([rows.column(0).cast(of_id), rows.column(1), found], ["doc_id", "node", "ks"])
+            found = pa.array([fingerprints(shingles(t.as_py())) for t in rows.column(2)], pa.binary())
+            yield pa.RecordBatch.from_arrays([rows.column(0).cast(of_id), rows.column(1), found], ["doc_id", "node", "prints"])
 
     rows = docs.select("doc_id", _node(F.col("text")).alias("node"), "text")
-    each = cut(rows.mapInArrow(of_batch, f"doc_id {kind.simpleString()}, node long, ks array<long>"))
-    nodes = cut(each.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("ks").alias("ks")))
-    keyed = nodes.select("node", F.explode("ks").alias("k")).distinct()
-    buckets = keyed.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(F.xxhash64("k", "node"), "node"))["node"].alias("lead")).filter("n > 1").select("k", "lead")
-    shared = cut(keyed.join(cut(buckets), "k").select("k", "node", "lead"))
-    texts = cut(rows.select("node", "text").join(shared.select("node").distinct(), "node").groupBy("node").agg(F.first("text").alias("text")))
+    each = cut(rows.mapInArrow(of_batch, f"doc_id {kind.simpleString()}, node long, prints binary"))
+    nodes = cut(each.groupBy("node").agg(F.min("doc_id").alias("low"), F.first("prints").alias("prints")))
+    keyed = cut(candidates(nodes))
+    texts = cut(rows.select("node", "text").join(keyed.select("node").distinct(), "node").groupBy("node").agg(F.first("text").alias("text")))
+    found = refined(keyed, texts)
+    leads = [F.min(F.struct(F.xxhash64("k", "node", F.lit(j)), "node"))["node"] for j in range(LEADS)]
+    buckets = found.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.array(*leads).alias("leads"))
+    buckets = buckets.select("k", F.explode(F.array_distinct(F.slice("leads", 1, F.when(F.col("n") > BUCKET, LEADS).otherwise(1)))).alias("lead"))
+    shared = cut(found.join(cut(buckets), "k").select("k", "node", "lead"))
     joined = nodes.select("node", "low").join(links(texts, shared), "node")
     lows = joined.groupBy("root").agg(F.min("low").alias("component_id"))
     moved = joined.join(lows, "root").select("node", F.col("component_id").alias("c"))

@@ -66,3 +66,57 @@ def test_near_copies_of_the_table_go(spark):
 def test_rows_that_repeat_an_id_are_decided_by_their_text(spark):
     a, b = " ".join(f"a{k}" for k in range(30)), " ".join(f"b{k}" for k in range(30))
     check(spark, [(5, a), (5, b), (2, b)])
+
+
+def plain_fingerprint(found):
+    """By one bit of one shingle at a time."""
+    m, counts = (1 << 64) - 1, [0] * 192
+    for x in map(int, found):
+        for w, (flip, times) in enumerate(zip(map(int, near_dedup._FLIP[:3]), map(int, near_dedup._TIMES[:3]), strict=True)):
+            h = (x ^ flip) * times & m
+            h = (h ^ h >> 32) * times & m
+            h ^= h >> 29
+            for k in range(64):
+                counts[64 * w + k] += h >> k & 1
+    return sum(1 << k for k, c in enumerate(counts) if 2 * c > len(found))
+
+
+def test_fingerprints_are_majorities_of_bits():
+    for n in (0, 1, 4, 5, 6, 300):
+        found = near_dedup.shingles(" ".join(f"w{k}" for k in range(n + 4 if n else 0)))
+        assert found.size == n
+        got = near_dedup.fingerprints(found)
+        want = [plain_fingerprint(found)] + [plain_fingerprint([*found[:k], *found[k + 1 :]]) for k in range(5) if n == 5]
+        assert [int.from_bytes(got[at : at + 24], "little") for at in range(0, len(got), 24)] == want
+
+
+def test_covering_masks_find_every_pair_within_35_bits(spark):
+    rnd = random.Random(9)
+    prints = []
+    for _ in range(60):
+        prints.append(rnd.getrandbits(192))
+        for bits in (1, 20, 35, 35, 35, 54, 60):
+            prints.append(prints[-1 if rnd.random() < 0.2 else len(prints) // 8 * 8] ^ sum(1 << k for k in rnd.sample(range(192), bits)))
+    nodes = spark.createDataFrame([(k, x.to_bytes(24, "little")) for k, x in enumerate(prints)], "node long, prints binary").repartition(3)
+    buckets = {}
+    for r in near_dedup.candidates(nodes).collect():
+        buckets.setdefault(r.k, set()).add(r.node)
+    apart = lambda a, b: (prints[a] ^ prints[b]).bit_count()
+    met = {(a, b) for own in buckets.values() for a in own for b in own if a < b}
+    within = {(a, b) for b in range(len(prints)) for a in range(b) if apart(a, b) <= 35}
+    assert len(within) > 200 and within <= met
+    for own in buckets.values():  # each is one chain
+        seen, todo = set(), [min(own)]
+        while todo:
+            seen.add(x := todo.pop())
+            todo += [y for y in own - seen if apart(x, y) <= near_dedup.REACH]
+        assert seen == own and len(own) > 1
+
+
+def test_four_shingles_within_five(spark):
+    rnd = random.Random(10)
+    rows = []
+    for k in range(300):
+        words = [f"{k}x{rnd.random()}" for _ in range(9)]
+        rows += [(2 * k, " ".join(words[1:] if k % 2 else words[:-1])), (2 * k + 1, " ".join(words))]
+    check(spark, rows)
